@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix_sources, mix_sql
+from weftline.llm.tokenbin import token_ids
 from weftline.session import table
 
 #: Target weights of the mix; sources not named have weight 2.
 MIX_WEIGHTS = {"src0": 10.0, "src1": 6.0, "src2": 3.0, "src3": 1.0}
 MIX_DEFAULT = 2.0
 MIX_SEED = 20
+#: Folder of tokenizer files, the same on every worker.
+TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +28,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op9_token_ids": op9_token_ids,
 }
 ORACLE: dict[str, str] = {"op1_mix_sources": mix_sql(MIX_WEIGHTS, MIX_DEFAULT, MIX_SEED)}
