@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.chunkdedup import repeated_chunks
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix_sources, mix_sql
+from weftline.llm.quality import keep_good
 from weftline.llm.tokenbin import token_ids
 from weftline.session import table
 
@@ -28,6 +30,15 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = keep_good(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scores=True)
+    return kept.drop("text")
+
+
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_chunks(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -35,6 +46,8 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_token_ids": op9_token_ids,
 }
 ORACLE: dict[str, str] = {"op1_mix_sources": mix_sql(MIX_WEIGHTS, MIX_DEFAULT, MIX_SEED)}
