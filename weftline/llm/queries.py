@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.chunkdedup import repeated_chunks
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix_sources, mix_sql
+from weftline.llm.pii import pseudonyms
 from weftline.llm.quality import keep_good
 from weftline.llm.tokenbin import token_ids
 from weftline.session import table
@@ -18,6 +19,8 @@ from weftline.session import table
 MIX_WEIGHTS = {"src0": 10.0, "src1": 6.0, "src2": 3.0, "src3": 1.0}
 MIX_DEFAULT = 2.0
 MIX_SEED = 20
+#: Key of the pseudonyms; a deployment sets its own secret.
+PII_KEY = os.environ.get("WEFT_PII_KEY", "weftline example key").encode()
 #: Folder of tokenizer files, the same on every worker.
 TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
 
@@ -43,11 +46,16 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_token_ids": op9_token_ids,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 ORACLE: dict[str, str] = {"op1_mix_sources": mix_sql(MIX_WEIGHTS, MIX_DEFAULT, MIX_SEED)}
