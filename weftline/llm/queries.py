@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.chunkdedup import repeated_chunks
+from weftline.llm.decontam import contaminated
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix_sources, mix_sql
 from weftline.llm.pii import pseudonyms
@@ -38,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.drop("text")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_chunks(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
