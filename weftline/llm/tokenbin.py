@@ -167,7 +167,7 @@ def split(code: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Byte-level BPE by a rank file; pieces already seen are remembered, up to ``remember`` of them."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 150_000):
         import tiktoken
 
         with open(path, "rb") as f:
@@ -260,11 +260,10 @@ def token_ids(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
         enc = _encoders[tokenizer]
         for batch in batches:
             text = B.filled(batch.column(1))
-            ids, first = enc(text)
-            for lo, hi in _ranges(first, 2_000_000):
-                f = first[lo : hi + 1]
-                words, wf, offs, bf = encode(ids[f[0] : f[-1]], f - f[0], block)
+            for lo, hi in B.pieces(text, 2 * B.CHUNK):
                 rows = hi - lo
+                ids, f = enc(text.slice(lo, rows))
+                words, wf, offs, bf = encode(ids, f, block)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, rows),
@@ -278,13 +277,5 @@ def token_ids(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def _ranges(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    a, n = 0, len(first) - 1
-    while a < n:
-        b = min(max(int(np.searchsorted(first, first[a] + most, side="right")) - 1, a + 1), n)
-        yield a, b
-        a = b
-
-
 def decode_row(payload: bytes, n_tokens: int, block_offsets: list[int], block: int = BLOCK) -> np.ndarray:
     return decode(np.frombuffer(payload, "<u8"), n_tokens, np.asarray(block_offsets), block)
