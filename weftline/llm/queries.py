@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.chunkdedup import repeated_chunks
 from weftline.llm.decontam import contaminated
+from weftline.llm.lmscore import score
 from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix_sources, mix_sql
 from weftline.llm.pii import pseudonyms
@@ -39,6 +40,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.drop("text")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_token_ids": op9_token_ids,
