@@ -15,6 +15,7 @@ from weftline.llm.mixing import mix_sources, mix_sql
 from weftline.llm.pii import pseudonyms
 from weftline.llm.quality import keep_good
 from weftline.llm.tokenbin import token_ids
+from weftline.llm.warc import WARC_SQL, pages_by_warc
 from weftline.session import table
 
 #: Target weights of the mix; sources not named have weight 2.
@@ -35,6 +36,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_by_warc(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = keep_good(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scores=True)
     return kept.drop("text")
@@ -63,6 +68,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
@@ -70,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
-ORACLE: dict[str, str] = {"op1_mix_sources": mix_sql(MIX_WEIGHTS, MIX_DEFAULT, MIX_SEED)}
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": mix_sql(MIX_WEIGHTS, MIX_DEFAULT, MIX_SEED),
+    "op3_warc": WARC_SQL,
+}
