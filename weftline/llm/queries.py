@@ -14,6 +14,7 @@ from weftline.llm.minhash import near_duplicates
 from weftline.llm.mixing import mix_sources, mix_sql
 from weftline.llm.pii import pseudonyms
 from weftline.llm.quality import keep_good
+from weftline.llm.suffixdedup import repeated_passages
 from weftline.llm.tokenbin import token_ids
 from weftline.llm.warc import WARC_SQL, pages_by_warc
 from weftline.session import table
@@ -53,6 +54,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_chunks(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
