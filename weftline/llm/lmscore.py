@@ -129,8 +129,8 @@ def by_length(start: np.ndarray, end: np.ndarray, longest: int) -> Iterator[np.n
     """Words of equal length, so many at once that their lattices fit LATTICE."""
     size = end - start
     order = np.argsort(size, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(size[order]) > 0))
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+    cuts = np.flatnonzero(np.append(True, np.diff(size[order]) > 0)) if len(order) else order
+    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=len(order) > 0):
         n = int(size[order[a]])
         step = max(1, LATTICE * 8 // (n * min(n, longest)))
         for k in range(a, b, step):
