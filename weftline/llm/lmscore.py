@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes as B
-from weftline.llm._shared import ensure_workers
+from weftline.llm._shared import ensure_workers, written
 
 _GAP = np.ones(256, np.bool_)
 _GAP[list(b" \t\n\r\x0b\x0c")] = False
@@ -185,31 +185,56 @@ def expected_counts(v: Vocabulary, logp: np.ndarray, data: np.ndarray, a: np.nda
     return out[:-1]
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Rows (word, n): how often each distinct word of all texts occurs.
+
+    Words are counted in every stretch of a task's texts and merged on the map
+    side before the one shuffle, which carries the distinct words of each task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = B.filled(batch.column(0))
+            for lo, hi in B.pieces(text, 3 * B.CHUNK):
+                data, a, b, code, _, _ = distinct_words(text.slice(lo, hi - lo))
+                n = np.bincount(code, minlength=len(a))
+                for x in range(0, len(a), 50_000):
+                    size = (b - a)[x : x + 50_000]
+                    to = np.concatenate([[0], np.cumsum(size)])
+                    flat = data[np.arange(to[-1]) + np.repeat(a[x : x + 50_000] - to[:-1], size)]
+                    word = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(flat)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([word, pa.array(n[x : x + 50_000])], ["word", "n"])
+
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, model: str, rounds: int = 1, smooth: float = 0.1) -> np.ndarray:
     """Log probabilities of the vocabulary's pieces, re-estimated on all of ``docs`` by ``rounds`` of expectation maximisation.
 
-    Every task sums the expected counts of its own texts; what is shuffled is
-    one row for each task and piece, so it grows with the input and stays a
-    small part of it.  The result is one number a piece of the fixed vocabulary.
+    What is gathered from the corpus is the count of every distinct word, which
+    grows with it; the expected counts of pieces are computed once a distinct
+    word instead of wherever it stands, so further rounds don't read the texts
+    again.  The result is one number a piece of the fixed vocabulary.
     """
     ensure_workers(docs.sparkSession)
     v = vocabulary(model)
     logp = v.prior
+    words = word_counts(docs)
+    if rounds > 1:
+        words = written(words, "words")
     for _ in range(rounds):
         shipped = docs.sparkSession.sparkContext.broadcast(logp)
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = vocabulary(model)
             total = np.zeros(len(v.pieces))
             for batch in batches:
-                text = B.filled(batch.column(0))
-                for lo, hi in B.pieces(text, 3 * B.CHUNK):
-                    data, a, b, code, _, _ = distinct_words(text.slice(lo, hi - lo))
-                    total += expected_counts(v, shipped.value, data, a, b, np.bincount(code, minlength=len(a)).astype(float))
+                data, off = B.buffer(batch.column(0))
+                total += expected_counts(v, shipped.value, data, off[:-1], off[1:], batch.column(1).to_numpy().astype(float))
             some = np.flatnonzero(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "n"])
 
-        got = docs.select("text").mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         c = np.full(len(v.pieces), smooth)
         np.add.at(c, got["piece"].to_numpy(np.int64), got["n"].to_numpy(float))
         logp = np.log(c / c.sum())
