@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,11 +13,24 @@ from pyspark.sql import types as T
 #: White space between raw tokens, alike in Java and RE2.
 RAW = r"[^ \t\n\r\f]+"
 _P = r"!-/:-@\[-`{-~"
-URL = r"(?:https?:(?://|\\\\)|www\.)(?:[\w:#@%/;$()~_?\+-=\\.&](?:#!)?)*"
+_U = r"[\w:#@%/;$()~_?\+-=\\.&]"
+_BEGIN_URL = r"(?:https?:(?://|\\\\)|www\.)"
+_C = rf"[^\t\n\x0b\f\r {_P}]"
+URL = rf"{_BEGIN_URL}(?:{_U}++|(?<={_U}#)!)*+"
 MAIL = r"[A-Za-z0-9.+_-]+@[A-Za-z0-9._-]+(?:\.[a-zA-Z]+)+"
-WORD = rf"(?:[^\s{_P}]|(?<=\p{{Nd}})[.,](?=\p{{Nd}})|(?<=\p{{L}})['`](?=\p{{L}}))+"
+#: Runs of other characters, joined by a stop or comma between digits and by a quote between letters; loops by joints, so a long word takes no deep stack.
+WORD = rf"{_C}++(?:(?:(?<=\p{{Nd}})[.,](?=\p{{Nd}})|(?<=\p{{L}})['`](?=\p{{L}})){_C}++)*+"
 #: Addresses, then words, then punctuation with a repeated character kept together.
 TOKEN = rf"{URL}|{MAIL}|{WORD}|([{_P}])\1*"
+#: The same without look-around and back references, for RE2.
+TOKEN_RE2 = "|".join(
+    [
+        rf"{_BEGIN_URL}(?:{_U}(?:#!)?)*",
+        MAIL,
+        rf"(?:\p{{Nd}}(?:[.,]\p{{Nd}})+|\p{{L}}(?:['`]\p{{L}})+|{_C})+",
+        *(f"\\x{c:02x}+" for r in ((33, 48), (58, 65), (91, 97), (123, 127)) for c in range(*r)),
+    ]
+)
 #: Marks that end a sentence.
 EOS = (".", "?", "!", "。", ";", "؟", "।", "॥", "…", "!!", "??", "...")
 BEGIN, END = "<begin>", "<end>"
@@ -26,6 +40,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it, inside lambdas too."""
+    return F.transform(F.array(_c(value)), body)[0]
+
+
 def raw_tokens(text: Column | str) -> Column:
     """Tokens between white space."""
     return F.regexp_extract_all(_c(text), F.lit(RAW), F.lit(0))
@@ -48,22 +67,15 @@ def is_end_of_sentence(token: Column | str) -> Column:
 
 def split_sentences(tokens: Column | str) -> Column:
     """Array of sentences; one ends at a closing mark that no other closing mark follows, and the rest is a sentence too."""
-    t = _c(tokens)
-    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(False).alias("eos"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = is_end_of_sentence(x)
-        close = acc["eos"] & ~end
-        return F.struct(
-            F.when(close, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(close, F.array(x)).otherwise(F.concat(acc["open"], F.array(x))).alias("open"),
-            end.alias("eos"),
-        )
 
-    def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        stop = lambda i: (i == n) | (is_end_of_sentence(F.get(t, i - 1)) & ~is_end_of_sentence(F.get(t, i)))
+        ends = F.filter(F.sequence(F.lit(1), n), stop)
+        parts = let(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)), e, lambda x, y: F.slice(t, x + 1, y - x)))
+        return F.when(n > 0, parts).otherwise(F.array().cast("array<array<string>>"))
 
-    return F.aggregate(t, zero, step, finish)
+    return let(tokens, cut)
 
 
 def paragraphs(text: Column | str) -> Column:
@@ -82,9 +94,12 @@ def padded(tokens: Column | str, n: int, begin: str | None = BEGIN, end: str | N
 
 def ngrams(tokens: Column | str, n: int, begin: str | None = BEGIN, end: str | None = END) -> Column:
     """Array of all n-grams, each an array, of the tokens with n - 1 markers on either side; None leaves a side bare."""
-    p = padded(tokens, n, begin, end)
-    grams = F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: F.slice(p, i, n))
-    return F.when(F.size(p) >= n, grams).otherwise(F.array().cast("array<array<string>>"))
+
+    def grams(p: Column) -> Column:
+        got = F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: F.slice(p, i, n))
+        return F.when(F.size(p) >= n, got).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(padded(tokens, n, begin, end), grams)
 
 
 def joined_ngrams(tokens: Column | str, n: int, begin: str | None = BEGIN, end: str | None = END) -> Column:
@@ -134,7 +149,10 @@ def calculate_overlap(haystack: Column | str, needle: Column | str, allow_partia
 
     A needle inside is not sought at either edge, where partial overlaps are.
     """
-    h, n = _c(haystack), _c(needle)
+    return let(haystack, lambda h: let(needle, lambda n: _overlap(h, n, allow_partial)))
+
+
+def _overlap(h: Column, n: Column, allow_partial: bool) -> Column:
     kind = "array<struct<part:array<int>,placement:int>>"
 
     def hit(part: Column, where: int) -> Column:
@@ -153,7 +171,7 @@ def calculate_overlap(haystack: Column | str, needle: Column | str, allow_partia
     return F.when(h == n, F.array(hit(h, 2))).when((F.size(h) == 0) | (F.size(n) == 0), none).otherwise(some)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """Decomposed characters with all but ASCII dropped."""
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
@@ -176,8 +194,11 @@ def swapped(tokens: pd.Series, distance: pd.Series) -> pd.Series:
 
 def contexts(tokens: Column | str, keyword: list[str], size: int) -> Column:
     """Array of (at, left, focus, right) for every place where the tokens of ``keyword`` stand; sides have up to ``size`` tokens."""
-    t, k = _c(tokens), len(keyword)
-    word = F.array(*map(F.lit, keyword))
+    return let(tokens, lambda t: _contexts(t, keyword, size))
+
+
+def _contexts(t: Column, keyword: list[str], size: int) -> Column:
+    k, word = len(keyword), F.array(*map(F.lit, keyword))
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.slice(t, i, k) == word)
     return F.transform(
         places,
