@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,17 +126,17 @@ def viterbi(sequences: DataFrame, start: dict[str, float], trans: dict[tuple[str
     t, e = table(trans), table(emit)
     zero = F.array(*(F.struct(F.lit(s).alias("state"), F.lit(float(start.get(s, 0.0))).alias("p"), F.array().cast("array<string>").alias("path")) for s in states))
 
-    def pick(cands: Column) -> Column:
-        best = F.array_max(F.transform(cands, lambda c: F.struct(c["p"].alias("p"), c["last"].alias("last"), c["path"].alias("path"))))
-        return best
+    def to(s: str) -> Callable[[Column], Column]:
+        return lambda c: F.struct((c["p"] * F.coalesce(F.try_element_at(t, F.concat(c["state"], F.lit("\0" + s))), F.lit(0.0))).alias("p"), c["state"].alias("last"), c["path"].alias("path"))
+
+    pick = F.array_max
 
     def step(acc: Column, o: Column) -> Column:
         out = []
         first = F.size(acc["cells"][0]["path"]) == 0
         for k, s in enumerate(states):
             em = F.coalesce(F.try_element_at(e, F.concat(F.lit(s + "\0"), o)), F.lit(0.0))
-            cands = F.transform(acc["cells"], lambda c, s=s: F.struct((c["p"] * F.coalesce(F.try_element_at(t, F.concat(c["state"], F.lit("\0" + s))), F.lit(0.0))).alias("p"), c["state"].alias("last"), c["path"].alias("path")))
-            best = pick(cands)
+            best = pick(F.transform(acc["cells"], to(s)))
             p = F.when(first, acc["cells"][k]["p"]).otherwise(best["p"]) * em
             path = F.when(first, F.array(F.lit(s))).otherwise(F.concat(best["path"], F.array(F.lit(s))))
             out.append(F.struct(F.lit(s).alias("state"), p.alias("p"), path.alias("path")))
