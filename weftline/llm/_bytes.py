@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,22 @@ _WORD[128:] = True
 _pow = [np.ones(1, U64), np.ones(1, U64)]
 
 
+_libc: list = []
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a worker lives on after its stage, beside others on the executor."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6"))
+            _libc[0].malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to do
+            _libc[:] = [None]
+    elif _libc[0] is not None:
+        _libc[0].malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of an odd number and of its inverse, modulo 2**64."""
     if len(_pow[0]) < n:
@@ -59,7 +76,7 @@ def filled(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def pieces(arr: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most`` bytes; a longer text is a range of its own, never split."""
+    """Ranges of rows that hold about ``most`` bytes; a longer text is a range of its own, never split.  After the last, free memory is given back."""
     _, off = buffer(arr)
     a, n = 0, len(arr)
     while a < n:
@@ -67,6 +84,7 @@ def pieces(arr: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
+    trim()
 
 
 @dataclass
