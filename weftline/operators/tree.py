@@ -15,9 +15,9 @@ DELIMITERS = {"w": " ", "s": " ", "utt": " ", "item": "\n", "row": "\n", "p": "\
 
 def with_auth_path(elements: DataFrame) -> DataFrame:
     """``elements`` with ``auth_path``: whether it and all above it are authoritative."""
-    bad = elements.where(~F.col("auth")).select("doc_id", F.col("eid").alias("_bad")).groupBy("doc_id").agg(F.collect_set("_bad").alias("_bad"))
-    out = elements.join(bad, "doc_id", "left")
-    return out.withColumn("auth_path", F.coalesce(~F.arrays_overlap("path", "_bad"), F.lit(True))).drop("_bad")
+    bad = elements.where(~F.col("auth")).select("doc_id", F.col("eid").alias("_bad"))
+    below = elements.select(*K, F.explode("path").alias("_bad")).join(bad, ["doc_id", "_bad"], "left_semi").select(*K).distinct()
+    return elements.join(below.withColumn("_hit", F.lit(True)), K, "left").withColumn("auth_path", F.col("_hit").isNull()).drop("_hit")
 
 
 def ancestry(elements: DataFrame) -> DataFrame:
@@ -177,12 +177,12 @@ def text_of(elements: DataFrame, tag: str, cls: str = "current", retain_tokenisa
     """
     w = word_text(elements, cls)
     up = w.select("doc_id", F.col("eid").alias("w"), "text", "space", F.explode("path").alias("eid"))
-    e = elements.where(F.col("category") == "structure").select("doc_id", "eid", "tag", "depth", "last")
+    e = elements.where(F.col("category") == "structure").select("doc_id", "eid", "tag", "depth")
     inside = up.join(e, K)
     target = inside.where(F.col("tag") == tag).select("doc_id", F.col("eid").alias("of"), "w", "text", "space", F.col("depth").alias("_d"))
-    ends = elements.where("tag = 'w'").select("doc_id", F.col("eid").alias("w"), F.col("last").alias("_wl"))
+    ends = inside.groupBy(*K).agg(F.max("w").alias("w"))
     delim = F.create_map(*(F.lit(x) for kv in DELIMITERS.items() for x in kv))
-    closes = inside.join(ends, ["doc_id", "w"]).where("last = _wl").select("doc_id", "w", F.col("depth").alias("_cd"), F.coalesce(F.try_element_at(delim, F.col("tag")), F.lit("\n\n")).alias("_del"))
+    closes = inside.join(ends, [*K, "w"]).select("doc_id", "w", F.col("depth").alias("_cd"), F.coalesce(F.try_element_at(delim, F.col("tag")), F.lit("\n\n")).alias("_del"))
     # the outermost element below the target that ends with the word decides
     j = target.join(closes, ["doc_id", "w"]).where("_cd > _d").groupBy("doc_id", "of", "w", "text", "space").agg(F.min_by("_del", "_cd").alias("_del"))
     self_ = target.where(F.lit(tag == "w")).select("doc_id", "of", "w", "text", "space", F.lit("").alias("_del"))

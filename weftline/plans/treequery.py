@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import tree
 from weftline.plans import cql
+from weftline.sources.annotated import NOT_AUTH
 
 K = ["doc_id", "eid"]
 OPS = ("=", "==", "!=", "<", ">", "<=", ">=", "CONTAINS", "NOTCONTAINS", "MATCHES", "NOTMATCHES")
@@ -217,7 +218,8 @@ class _Plan:
     """Filters become columns: what HAS and its like find is joined as a flag, so any nesting of AND, OR and NOT is an expression."""
 
     def __init__(self, elements: DataFrame):
-        self.all = elements
+        self.columns = elements.columns
+        self.all = tree.with_auth_path(with_text(elements))
         self.n = 0
 
     def condition(self, df: DataFrame, f: object) -> tuple[DataFrame, Column]:
@@ -238,7 +240,7 @@ class _Plan:
         flag = f"_f{self.n}"
         found = self.select(Selector(f.tag, None, f.set, f.filter))
         if f.where == "below":
-            keys = found.where("auth").select("doc_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("eid"))
+            keys = found.where("auth_path").select("doc_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("eid"))
         elif f.where == "parent":
             keys = self.all.select("doc_id", "parent_eid", F.col("eid").alias("_e")).join(found.select("doc_id", F.col("eid").alias("parent_eid")), ["doc_id", "parent_eid"], "left_semi").select("doc_id", F.col("_e").alias("eid"))
         else:
@@ -247,7 +249,8 @@ class _Plan:
         return df.join(keys.distinct().withColumn(flag, F.lit(True)), K, "left"), F.coalesce(F.col(flag), F.lit(False))
 
     def select(self, s: Selector) -> DataFrame:
-        df = self.all
+        # what is not authoritative is found only if it is asked for by tag or id
+        df = self.all.where(F.col("auth_path") | F.lit(bool(s.id)) | F.lit(s.tag in NOT_AUTH))
         if s.tag:
             df = df.where(F.col("tag") == s.tag)
         if s.id:
@@ -298,7 +301,7 @@ class _Plan:
 def run(elements: DataFrame, query: str | Query) -> DataFrame:
     """What SELECT finds (rows of elements; of spans, doc_id and eids), or the elements after EDIT, ADD, APPEND, PREPEND or DELETE."""
     q = parse(query) if isinstance(query, str) else query
-    plan = _Plan(with_text(elements))
+    plan = _Plan(elements)
     if q.action == "SELECT" and q.span:
         return plan.spans(q)
     anchors = plan.targets(q)

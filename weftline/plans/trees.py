@@ -10,6 +10,7 @@ from weftline.plans.corpus import TOK_SQL
 from weftline.plans.registry import query
 from weftline.session import table
 from weftline.sources.annotated import elements_of_text
+from weftline.storage import written
 
 #: Paragraphs, sentences and words (w) of documents in DuckDB: columns doc_id, p, s, i (place in the paragraph), w.
 WORDS_SQL = f"""WITH par AS (SELECT doc_id, UNNEST(ps) AS text, UNNEST(range(0, LEN(ps))) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda x: TRIM(x, ' ') <> '') AS ps FROM documents)),
@@ -19,7 +20,8 @@ sen AS (SELECT doc_id, p, i, w, COALESCE(SUM((e AND NOT COALESCE(e2, TRUE))::INT
 
 
 def _elements(spark, sf):
-    return elements_of_text(table(spark, sf, "documents").select("doc_id", "text"))
+    """The table of elements, written once: every query below reads it several times."""
+    return written(elements_of_text(table(spark, sf, "documents").select("doc_id", "text")), "elements")
 
 
 @query(
@@ -69,7 +71,8 @@ def paragraph_text(spark, sf):
 
 @query(WORDS_SQL + ", x AS (SELECT doc_id, p, s, i, w, LEAD(w, 1) OVER v AS b, LEAD(w, 2) OVER v AS c FROM sen WINDOW v AS (PARTITION BY doc_id, p, s ORDER BY i)) SELECT doc_id::VARCHAR AS doc_id, COUNT(*) AS n FROM (SELECT doc_id FROM x WHERE w = ',' AND b = 'en' UNION ALL SELECT doc_id FROM x WHERE w = ',' AND c = 'en') GROUP BY 1")
 def token_pattern(spark, sf):
-    e = tree.nearest_ancestor(_elements(spark, sf), "s", _elements(spark, sf).where("tag = 'w'"))
+    every = _elements(spark, sf)
+    e = tree.nearest_ancestor(every, "s", every.where("tag = 'w'"))
     seq = e.groupBy("doc_id", "anc_eid").agg(F.array_sort(F.collect_list(F.struct("eid", F.col("content").alias("word")))).alias("tokens"))
     return cql.find(seq, '"," []? "en"', ["doc_id", "anc_eid"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
