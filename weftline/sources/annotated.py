@@ -139,32 +139,32 @@ def elements_of_text(docs: DataFrame) -> DataFrame:
     over its own elements, so documents are spread by one shuffle on doc_id.
     """
     p = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode_outer(T.paragraphs("text")).alias("p", "_p"))
-    s = p.select("doc_id", "p", F.posexplode_outer(T.split_sentences(T.tokenize("_p"))).alias("s", "_s"))
-    w = s.select("doc_id", "p", "s", F.posexplode_outer("_s").alias("w", "word"))
-    node = lambda tag, depth, o, path, word=None: F.struct(F.lit(tag).alias("tag"), F.lit(depth).alias("depth"), o.cast("int").alias("ord"), path.alias("k"), (word if word is not None else F.lit(None).cast("string")).alias("content"))
+    p = p.select("doc_id", "p", T.split_sentences(T.tokenize("_p")).alias("_ss"))
+    p = p.withColumn("_np", F.aggregate("_ss", F.size("_ss"), lambda a, x: a + F.size(x)))
+    s = p.select("doc_id", "p", "_np", F.posexplode_outer("_ss").alias("s", "_s"))
+    w = s.select("doc_id", "p", "s", "_np", F.size("_s").alias("_ns"), F.posexplode_outer("_s").alias("w", "word"))
+    node = lambda tag, depth, o, path, below, word=None: F.struct(below.cast("int").alias("below"), F.lit(tag).alias("tag"), F.lit(depth).alias("depth"), o.cast("int").alias("ord"), path.alias("k"), (word if word is not None else F.lit(None).cast("string")).alias("content"))
     at = lambda *c: F.array(*(F.col(x) if isinstance(x, str) else F.lit(x) for x in c))
     none = F.lit(None).cast("int")
     first_w, first_s = F.coalesce("w", F.lit(0)) == 0, F.coalesce("s", F.lit(0)) == 0
     rows = F.filter(
         F.array(
-            F.when(first_w & first_s & (F.coalesce("p", F.lit(0)) == 0), node("text", 0, F.lit(0), at(-1, -1, -1))),
-            F.when(first_w & first_s & F.col("p").isNotNull(), node("p", 1, F.col("p"), at("p", -1, -1))),
-            F.when(first_w & F.col("s").isNotNull(), node("s", 2, F.col("s"), at("p", "s", -1))),
-            F.when(F.col("w").isNotNull(), node("w", 3, F.col("w"), at("p", "s", "w"), F.col("word"))),
+            F.when(first_w & first_s & (F.coalesce("p", F.lit(0)) == 0), node("text", 0, F.lit(0), at(-1, -1, -1), F.lit(None))),
+            F.when(first_w & first_s & F.col("p").isNotNull(), node("p", 1, F.col("p"), at("p", -1, -1), F.col("_np"))),
+            F.when(first_w & F.col("s").isNotNull(), node("s", 2, F.col("s"), at("p", "s", -1), F.col("_ns"))),
+            F.when(F.col("w").isNotNull(), node("w", 3, F.col("w"), at("p", "s", "w"), F.lit(0), F.col("word"))),
         ),
         lambda x: x.isNotNull(),
     )
     nodes = w.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
     by = Window.partitionBy("doc_id").orderBy("k")
-    upto, after = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(1, Window.unboundedFollowing)
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = nodes.withColumn("eid", F.row_number().over(by) - 1)
     last = lambda d: F.last(F.when(F.col("depth") == d, F.col("eid")), True).over(upto)
     full = F.array(F.lit(0), last(1), last(2), last(3))
     e = e.withColumn("path", F.slice(full, F.lit(1), F.col("depth") + 1)).withColumn("size", F.count("*").over(Window.partitionBy("doc_id")))
-    nxt = lambda d: F.first(F.when(F.col("depth") <= d, F.col("eid")), True).over(after)
-    end = F.when(F.col("depth") == 3, F.col("eid") + 1).when(F.col("depth") == 0, F.col("size")).when(F.col("depth") == 1, F.coalesce(nxt(1), "size")).otherwise(F.coalesce(nxt(2), "size"))
     text = lambda: F.lit(None).cast("string")
-    return e.withColumn("last", (end - 1).cast("int")).select(
+    return e.withColumn("last", F.coalesce(F.col("eid") + F.col("below"), F.col("size") - 1).cast("int")).select(
         "doc_id", F.col("eid").cast("int").alias("eid"), F.when(F.col("depth") > 0, F.element_at("path", -2)).otherwise(none).alias("parent_eid"), "ord", "last", "depth", "path", "tag", F.lit("structure").alias("category"),
         F.concat_ws(".", "doc_id", F.when(F.col("depth") > 0, F.concat(F.lit("p."), F.col("k")[0] + 1)), F.when(F.col("depth") > 1, F.concat(F.lit("s."), F.col("k")[1] + 1)), F.when(F.col("depth") > 2, F.concat(F.lit("w."), F.col("k")[2] + 1))).alias("xml_id"),
         text().alias("set"), text().alias("cls"), text().alias("annotator"), F.lit(None).cast("double").alias("confidence"), text().alias("n"), text().alias("src"), text().alias("speaker"), F.when(F.col("tag") == "w", F.lit("current")).alias("textclass"),
