@@ -104,7 +104,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Sums S with S[j] - S[i] times the inverse power of i being the hash of bytes i to j."""
     pw, _ = powers(len(data) + 1)
     s = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * pw[: len(data)], out=s[1:])
+    t = s[1:]  # worked on in place: eight bytes for each of the text's
+    t[:] = data
+    t += U64(1)
+    t *= pw[: len(data)]
+    np.add.accumulate(t, out=t)
     return s
 
 
