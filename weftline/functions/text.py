@@ -244,31 +244,31 @@ def version_at_least(version: Column | str, least: str) -> Column:
     return have >= F.array(*map(F.lit, want))
 
 
-#: Values of features by subset, in order of precedence, each with the heads it is limited to.
-CGN_FEATURES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
-    ("ntype", ("soort", "eigen"), ()),
-    ("getal", ("ev", "mv", "getal"), ()),
-    ("genus", ("zijd", "onz", "masc", "fem", "genus"), ()),
-    ("naamval", ("stan", "gen", "dat", "nomin", "obl", "bijz"), ()),
-    ("spectype", ("afgebr", "afk", "deeleigen", "symb", "vreemd", "enof", "meta", "achter", "comment", "onverst"), ()),
-    ("conjtype", ("neven", "onder"), ("VG",)),
-    ("vztype", ("init", "fin", "versm"), ("VZ",)),
-    ("npagr", ("agr", "agr3", "evon", "rest", "evz", "mv", "evf", "rest3", "evmo", "agr3"), ("VNW", "LID")),
-    ("lwtype", ("bep", "onbep"), ("LID",)),
-    ("vwtype", ("pers", "pr", "refl", "recip", "bez", "vb", "vrag", "betr", "excl", "aanw", "onbep"), ("VNW",)),
-    ("pdtype", ("adv-pron", "pron", "det", "grad"), ("VNW",)),
-    ("status", ("vol", "red", "nadr"), ("VNW",)),
-    ("persoon", ("1", "2", "2v", "2b", "3", "3p", "3m", "3v", "3o", "persoon"), ("VNW",)),
-    ("npagr", ("agr", "evon", "rest"), ()),
-    ("positie", ("prenom", "postnom", "nom", "vrij"), ()),
-    ("buiging", ("zonder", "met-e", "met-s"), ()),
-    ("getal-n", ("zonder-v", "mv-n", "zonder-n"), ()),
-    ("graad", ("basis", "comp", "sup", "dim"), ()),
-    ("wvorm", ("pv", "inf", "od", "vd"), ("WW",)),
-    ("pvtijd", ("tgw", "verl", "conj"), ("WW",)),
-    ("pvagr", ("ev", "mv", "met-t"), ("WW",)),
-    ("numtype", ("hoofd", "rang"), ("TW",)),
-    ("dial", ("dial",), ()),
+#: Features by subset, in order of precedence: the classes it knows, and the heads it is limited to.
+CGN_FEATURES: tuple[tuple[str, str, str], ...] = (
+    ("ntype", "eigen soort", ""),
+    ("getal", "ev getal mv", ""),
+    ("genus", "fem genus masc onz zijd", ""),
+    ("naamval", "bijz dat gen nomin obl stan", ""),
+    ("spectype", "achter afgebr afk comment deeleigen enof meta onverst symb vreemd", ""),
+    ("conjtype", "neven onder", "VG"),
+    ("vztype", "fin init versm", "VZ"),
+    ("npagr", "agr agr3 evf evmo evon evz mv rest rest3", "VNW LID"),
+    ("lwtype", "bep onbep", "LID"),
+    ("vwtype", "aanw betr bez excl onbep pers pr recip refl vb vrag", "VNW"),
+    ("pdtype", "adv-pron det grad pron", "VNW"),
+    ("status", "nadr red vol", "VNW"),
+    ("persoon", "1 2 2b 2v 3 3m 3o 3p 3v persoon", "VNW"),
+    ("npagr", "agr evon rest", ""),
+    ("positie", "nom postnom prenom vrij", ""),
+    ("buiging", "met-e met-s zonder", ""),
+    ("getal-n", "mv-n zonder-n zonder-v", ""),
+    ("graad", "basis comp dim sup", ""),
+    ("wvorm", "inf od pv vd", "WW"),
+    ("pvtijd", "conj tgw verl", "WW"),
+    ("pvagr", "ev met-t mv", "WW"),
+    ("numtype", "hoofd rang", "TW"),
+    ("dial", "dial", ""),
 )
 
 
@@ -281,9 +281,9 @@ def cgn_tag(tag: Column | str) -> Column:
     def subset(x: Column) -> Column:
         out = None
         for name, known, heads in CGN_FEATURES:
-            cond = x.isin(*known)
+            cond = x.isin(*known.split())
             if heads:
-                cond = cond & head.isin(*heads)
+                cond = cond & head.isin(*heads.split())
             out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
         return out
 
