@@ -59,9 +59,11 @@ def backoff_scores(queries: DataFrame, model: DataFrame, order: int, unknown: st
     return q.select(*queries.columns, out.otherwise(F.col("_unk") + given_up).alias("logprob"))
 
 
-def text_queries(sentences: DataFrame, tokens: Column, keys: list[str]) -> DataFrame:
-    """Rows (keys..., pos, history, word): every word of a sentence with all before it."""
-    x = let(tokens, lambda t: F.transform(t, lambda w, i: F.struct((i + 1).alias("pos"), F.slice(t, F.lit(1), i).alias("history"), w.alias("word"))))
+def text_queries(sentences: DataFrame, tokens: Column, keys: list[str], order: int | None = None) -> DataFrame:
+    """Rows (keys..., pos, history, word): every word of a sentence with those before it, of which a model of ``order`` needs the last order - 1."""
+    begin = lambda i: F.lit(1) if order is None else F.greatest(i - order + 2, F.lit(1))
+    size = lambda i: i if order is None else F.least(i, F.lit(order - 1))
+    x = let(tokens, lambda t: F.transform(t, lambda w, i: F.struct((i + 1).alias("pos"), F.slice(t, begin(i), size(i)).alias("history"), w.alias("word"))))
     return sentences.select(*keys, F.explode(x).alias("x")).select(*keys, "x.*")
 
 

@@ -351,3 +351,41 @@ SELECT conv_id, turn, word, pos, m AS match FROM x WHERE k = 1"""
 def nearest_position(spark, sf):
     c = _turns(spark, sf).select("conv_id", "turn", F.posexplode(T.raw_tokens("text")).alias("pos", "word")).withColumn("pos", (F.col("pos") + 1).cast("long"))
     return models.nearest_position(c, c.withColumn("turn", F.col("turn") - 1), ["conv_id", "turn"])
+
+
+@query("SELECT a::INT AS at, l::INT AS length FROM (SELECT UNNEST(range(12)) AS a), (SELECT UNNEST(range(1, 13)) AS l) WHERE a > 0 AND a + l < 12")
+def consecutive_gaps(spark, sf):
+    return M.consecutive_gaps(spark, 12)
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT [p] AS parts, p AS m, 20 - p AS rest FROM (SELECT UNNEST(range(1, 21)) AS p)
+  UNION ALL SELECT list_append(parts, p), p, rest - p FROM s, (SELECT UNNEST(range(1, 21)) AS p) WHERE p <= m AND p <= rest AND LEN(parts) < 4)
+SELECT array_to_string(parts, '+') AS parts FROM s WHERE rest = 0 AND LEN(parts) = 4"""
+)
+def number_partitions(spark, sf):
+    return M.sum_to_n(spark, 20, 4).select(F.array_join(F.transform("parts", lambda x: x.cast("string")), "+").alias("parts"))
+
+
+@query(
+    LM_SQL
+    + f""", h AS (SELECT history, SUM(n) AS nh FROM c GROUP BY 1), u AS (SELECT word, SUM(n) AS k FROM c GROUP BY 1), tt AS (SELECT SUM(n) AS t FROM c),
+q AS (SELECT conv_id, turn, {RAW_SQL} AS p FROM conversations), x AS (SELECT conv_id, turn, CASE WHEN i > 1 THEN p[i - 1] END AS history, p[i] AS word FROM (SELECT conv_id, turn, p, UNNEST(range(1, LEN(p) + 1)) AS i FROM q))
+SELECT conv_id, turn, ROUND(SUM(CASE WHEN x.history IS NULL THEN LOG10(k / t) ELSE LOG10((n - 0.5) / nh) END), 6) AS log10_prob
+FROM x JOIN u USING (word) LEFT JOIN c ON c.history = x.history AND c.word = x.word LEFT JOIN h ON h.history = x.history, tt GROUP BY conv_id, turn"""
+)
+def backoff_model(spark, sf):
+    t = _turns(spark, sf)
+    arpa = models.arpa_of(models.train_ngrams(t, T.raw_tokens("text"), 2))
+    q = models.text_queries(t, T.raw_tokens("text"), ["conv_id", "turn"], order=2)
+    return models.backoff_scores(q, arpa, 2).groupBy("conv_id", "turn").agg(F.round(F.sum("logprob"), 6).alias("log10_prob"))
+
+
+@query()
+def hidden_states(spark, sf):
+    """Most probable states of every user's events; beyond SQL, held against a worked example in the tests."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
+    kinds = {"click": (0.3, 0.2), "view": (0.5, 0.2), "purchase": (0.02, 0.2), "signup": (0.08, 0.2), "error": (0.1, 0.2)}
+    emit = {(s, k): v[i] for k, v in kinds.items() for i, s in enumerate(("idle", "keen"))}
+    trans = {("idle", "idle"): 0.8, ("idle", "keen"): 0.2, ("keen", "idle"): 0.3, ("keen", "keen"): 0.7}
+    return models.viterbi(e.select("user_id", F.col("s.event_type").alias("observations")), {"idle": 0.7, "keen": 0.3}, trans, emit, ["user_id"])
