@@ -10,6 +10,7 @@ from weftline.functions import text as T
 from weftline.operators import cooccurrence, evaluation, freq, models, selection
 from weftline.plans.registry import query
 from weftline.session import table
+from weftline.storage import written
 
 RAW_SQL = f"regexp_extract_all(text, '{T.RAW}')"
 TOK_SQL = "regexp_extract_all(text, '" + T.TOKEN_RE2.replace("'", "''") + "')"
@@ -376,7 +377,8 @@ FROM x JOIN u USING (word) LEFT JOIN c ON c.history = x.history AND c.word = x.w
 )
 def backoff_model(spark, sf):
     t = _turns(spark, sf)
-    arpa = models.arpa_of(models.train_ngrams(t, T.raw_tokens("text"), 2))
+    counts = written(models.train_ngrams(t, T.raw_tokens("text"), 2), "bigrams")
+    arpa = written(models.arpa_of(counts), "arpa")  # a model is a table: it is joined once a step
     q = models.text_queries(t, T.raw_tokens("text"), ["conv_id", "turn"], order=2)
     return models.backoff_scores(q, arpa, 2).groupBy("conv_id", "turn").agg(F.round(F.sum("logprob"), 6).alias("log10_prob"))
 
