@@ -232,6 +232,33 @@ def test_gear_chunks_by_hand():
         assert got[k] == want
 
 
+def test_gear_begins_anew_with_each_text():
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (40, 1, 0, 7, 31, 32, 33, 200, 3, 90)]
+    off = np.cumsum([0, *map(len, texts)])
+    got = chunkdedup.gear(np.frombuffer(b"".join(texts), np.uint8), off)
+    want = []
+    for t in texts:
+        h = 0
+        for c in t:
+            h = (h << 1) + int(chunkdedup.GEAR[c]) & 0xFFFFFFFF
+            want.append(h)
+    assert got.tolist() == want
+
+
+def test_exact_copies_are_one_range_in_any_row_order(spark):
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    base = [line(rng.randint(80, 400)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, t) for i, t in enumerate(base)] + [(500 + i, line(50)) for i in range(40)]
+    seen = []
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1 + seed)
+        seen.append(sorted((r.doc_id, r.start, r.stop) for r in chunkdedup.repeated_chunks(d).collect()))
+    assert seen[0] == seen[1] == sorted((1000 + i, 0, len(t)) for i, t in enumerate(base))
+
+
 def test_chunks_survive_an_insertion(spark):
     rng = random.Random(4)
     base = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400))

@@ -19,25 +19,33 @@ _SECOND = _r.integers(0, 1 << 63, 256, np.uint64)
 WINDOW = 32
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash after every byte: h = (h << 1) + GEAR[byte], of which the last 32 bytes count; by doubling the window."""
+def gear(data: np.ndarray, off: np.ndarray | None = None) -> np.ndarray:
+    """The gear hash after every byte: h = (h << 1) + GEAR[byte], of which the last 32 bytes count; by doubling the window.
+
+    With the bounds ``off`` of texts, of these only the bytes of its own text.
+    """
     h = GEAR[data]
     k = 1
     while k < WINDOW and k < len(h):
         nxt = h.copy()
         nxt[k:] += h[:-k] << np.uint32(k)
+        for j in range(k if off is not None else 0):  # the first k bytes of a text have nothing k bytes before them
+            at = off[:-1] + j
+            at = at[at < off[1:]]
+            nxt[at] = h[at]
         h, k = nxt, 2 * k
     return h
 
 
-def cut(data: np.ndarray, off: np.ndarray, least: int, bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(data: np.ndarray, off: np.ndarray, least: int, bits: int, most: int, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the text, beginning and end of every chunk; ``off`` has the n + 1 bounds of the texts.
 
     A chunk ends after a byte where the top ``bits`` bits of the gear hash are
     zero, once it has ``least`` bytes; at ``most`` bytes; or with the text.  The
+    hash begins anew with each text, so that equal texts are cut alike.  The
     texts are walked side by side, one chunk of each at a time.
     """
-    marks = np.flatnonzero(gear(data) >> np.uint32(32 - bits) == 0) + 1
+    marks = np.flatnonzero(gear(data, off if alone else None) >> np.uint32(32 - bits) == 0) + 1
     marks = np.append(marks, len(data) + most + 1)
     doc, a, b = [], [], []
     live = np.flatnonzero(np.diff(off) > 0)
@@ -69,7 +77,7 @@ def chunks(docs: DataFrame, least: int, bits: int, most: int) -> DataFrame:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for lo, hi in B.pieces(text):
                 data, off = B.buffer(text.slice(lo, hi - lo))
-                doc, a, b = cut(data, off, least, bits, most)
+                doc, a, b = cut(data, off, least, bits, most, alone=True)
                 pw, _ = B.powers(len(data) + 1)
                 s2 = np.zeros(len(data) + 1, B.U64)
                 np.cumsum(_SECOND[data] * pw[: len(data)], out=s2[1:])
