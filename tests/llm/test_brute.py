@@ -95,6 +95,33 @@ def test_quality_on_data(spark, docs):
     assert len(good - kept) <= max(1, 0.05 * len(good))
 
 
+def test_strata_of_few_labels_are_filtered(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for lang, n in (("en", 1500), ("de", 230), ("fr", 230), ("es", 230)):
+        for k in range(n + 20):
+            good = k < n
+            text = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(30)) if good else "SHOUT %%%% " * 10 if k % 2 else "a b $ " * 20
+            rows.append((len(rows), text, lang))
+            labels.append((len(rows) - 1, int(good)))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.keep_good(d, lab).collect()}
+    assert kept == {i for i, good in labels if good}
+
+
+def test_joint_risk_is_controlled():
+    """All rules together reject more than the risk of the good in at most a delta of draws."""
+    rng, risk, delta, over = np.random.default_rng(4), 0.05, 0.1, 0
+    for _ in range(300):
+        p = np.minimum(rng.geometric(0.04, (20_000, 4)) - 1, 100)
+        g, bad = p[:200], rng.integers(0, 101, (50, 4))
+        unit = quality.units(np.array([np.bincount(x, minlength=101) for x in p[200:400].T]))
+        is_good = np.arange(250) < 200
+        cuts = quality.choose_all(np.vstack([g, bad]), is_good.astype(int), (~is_good).astype(int), unit, risk, delta, 0.0)
+        over += (p > [100 if c is None else c for c in cuts]).any(axis=1).mean() > risk
+    assert over <= 300 * delta
+
+
 def test_lattice_by_enumeration():
     v = lmscore.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
     p = dict(zip(v.pieces, v.prior, strict=True))

@@ -117,6 +117,44 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, delta: float, price:
     return best[1:] if best else (None, 0, 0)
 
 
+#: Part of delta that the test of all rules together has; the rest is for the rules one by one.
+JOINT = 0.95
+
+
+def units(good: np.ndarray) -> np.ndarray:
+    """A grade of each rule that one in a hundred good documents exceeds, 1 at least, from counts by rule and grade; 5 without any."""
+    n = good.sum(axis=1, keepdims=True)
+    u = np.maximum((np.cumsum(good, axis=1) < 0.99 * n).sum(axis=1), 1)
+    return np.where(n[:, 0] > 0, u, 5)
+
+
+def choose_all(grade: np.ndarray, good: np.ndarray, bad: np.ndarray, unit: np.ndarray, risk: float, delta: float, price: float) -> list[int | None]:
+    """A cutoff for each of RULES from labelled rows of ``grade`` (one column a rule), which occur ``good`` and ``bad`` times.
+
+    Two families are tested.  One lowers the cutoffs of all rules together, each
+    in its ``unit``, and has the whole ``risk`` and ``JOINT`` of ``delta``; few
+    labels suffice for it.  The other has each rule by itself, with an equal
+    part of ``risk`` and of what is left of ``delta``; it serves where units
+    mislead.  The one that gains more is taken.  Units may not depend on these
+    good rows, or the tests would not be in a fixed order.
+    """
+    k = grade.shape[1]
+    level = 100 * np.arange(101)[:, None] // (np.arange(101)[:, None] + 3 * unit)  # of each grade, by rule
+
+    def counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(x, good, 101).astype(np.int64), np.bincount(x, bad, 101).astype(np.int64)
+
+    c = choose(*counts(level[grade, np.arange(k)].max(axis=1)), risk, JOINT * delta, price)[0]
+    together = [None if c is None else int((level[:, r] <= c).sum()) - 1 for r in range(k)]
+    apart = [choose(*counts(grade[:, r]), risk / k, (1 - JOINT) * delta / k, price)[0] for r in range(k)]
+
+    def gain(cuts: list[int | None]) -> float:
+        gone = (grade > np.array([100 if c is None else c for c in cuts])).any(axis=1)
+        return bad[gone].sum() / max(bad.sum(), 1) - price * good[gone].sum() / max(good.sum(), 1)
+
+    return max(together, apart, key=gain)
+
+
 def thresholds(
     docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, price: float = 5.0
 ) -> DataFrame:
@@ -124,10 +162,13 @@ def thresholds(
 
     ``labels`` (doc_id, quality) is the held-out set: no rule is fitted to it.
     With probability 1 - ``delta`` over the draw of labels, the rules together
-    reject at most ``risk`` of the good documents of every stratum: each rule
-    has an equal part of ``risk``, each rule in each stratum an equal part of
-    ``delta`` (Bonferroni).  Null labels and ids don't count; a label row that
-    is repeated counts once, contradicting ones count for both sides.
+    reject at most ``risk`` of the good documents of every stratum, each of
+    which has an equal part of ``delta`` (Bonferroni); see :func:`choose_all`.
+    The units of a stratum come from the good documents of all others, whose
+    labels are drawn apart from its own.
+    The counts of rejected are those of each rule alone.  Null labels and ids
+    don't count; a label row that is repeated counts once, contradicting ones
+    count for both sides.
     """
     names = fresh(docs, *(f"_{r}" for r in RULES))
     g = graded(docs.select("doc_id", stratum, "text"), names).select(
@@ -136,25 +177,29 @@ def thresholds(
     lab = labels.select(F.col("doc_id").alias("_lid"), F.col("quality").cast("int").alias("_q")).where("_lid IS NOT NULL AND _q IN (0, 1)").distinct()
     hist = (
         g.join(lab, g._id == lab._lid)
-        .select("stratum", "_q", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("grade")) for r in RULES))).alias("x"))
-        .groupBy("stratum", "x.rule", "x.grade", "_q")
-        .agg(F.count("*").alias("n"))
+        .groupBy("stratum", *RULES)
+        .agg(F.sum("_q").alias("n_good"), F.sum(1 - F.col("_q")).alias("n_bad"))
     )
     hist = checkpoint(hist)
     strata = hist.select(F.coalesce("stratum", F.lit("\0"))).distinct().count()
-    part, level = risk / len(RULES), delta / (len(RULES) * max(strata, 1))
+    level = delta / max(strata, 1)
+    total = np.zeros((len(RULES), 101), np.int64)
+    by_rule = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(r).alias("grade")) for k, r in enumerate(RULES))))
+    for k, x, n in hist.select(by_rule.alias("x"), "n_good").groupBy("x.rule", "x.grade").agg(F.sum("n_good")).collect():
+        total[k, x] = n
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        good, bad = np.zeros(101, np.int64), np.zeros(101, np.int64)
-        for grade, q, n in zip(pdf["grade"], pdf["_q"], pdf["n"], strict=True):
-            (good if q else bad)[grade] += n
-        c, k, kb = choose(good, bad, part, level, price)
-        row = (pdf["stratum"].iloc[0], pdf["rule"].iloc[0], c, good.sum(), k, bad.sum(), kb)
-        out = pd.DataFrame([row], columns=["stratum", "rule", "cutoff", "n_good", "good_rejected", "n_bad", "bad_rejected"])
+        grade, good, bad = pdf[list(RULES)].to_numpy(), pdf["n_good"].to_numpy(), pdf["n_bad"].to_numpy()
+        own = np.array([np.bincount(g, good, 101) for g in grade.T]).astype(np.int64)
+        rows = []
+        for r, c, g in zip(RULES, choose_all(grade, good, bad, units(total - own), risk, level, price), grade.T, strict=True):
+            gone = g > (100 if c is None else c)
+            rows.append((pdf["stratum"].iloc[0], r, c, good.sum(), good[gone].sum(), bad.sum(), bad[gone].sum()))
+        out = pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "good_rejected", "n_bad", "bad_rejected"])
         return out.astype({"cutoff": "Int32"})
 
     schema = "stratum string, rule string, cutoff int, n_good long, good_rejected long, n_bad long, bad_rejected long"
-    return checkpoint(hist.groupBy("stratum", "rule").applyInPandas(pick, schema))
+    return checkpoint(hist.groupBy("stratum").applyInPandas(pick, schema))
 
 
 def keep_good(
