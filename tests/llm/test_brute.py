@@ -187,6 +187,14 @@ def test_planted_item_deep_in_a_long_text(spark):
     assert [r.doc_id for r in decontam.decontaminated(d, i).collect()] == [2]
 
 
+def test_item_after_a_cell_of_foreign_words(spark):
+    item = "Which metal is liquid at room temperature and was once used in every household thermometer? Mercury was used for this purpose."
+    d = spark.createDataFrame([(1, " ".join(f"foreign{i}" for i in range(32)) + " " + item)], "doc_id long, text string")
+    i = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(d, i).collect()] == [(1, 9)]
+    assert decontam.decontaminated(d, i).count() == 0
+
+
 def covered(rows):
     out = {}
     for r in rows:

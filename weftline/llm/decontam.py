@@ -226,7 +226,8 @@ def _may_reach(index: Index, term: np.ndarray, cell: np.ndarray, doc: np.ndarray
 
     WAND's bound, for groups of entries: the greatest impacts in a group of the
     distinct terms of each cell are summed.  A passage without a group that
-    reaches the score has no entry that does.
+    reaches the score has no entry that does.  Passages may begin with cells
+    that have no term.
     """
     some = np.flatnonzero(term >= 0)
     out = np.zeros(len(doc), np.bool_)
@@ -243,7 +244,7 @@ def _may_reach(index: Index, term: np.ndarray, cell: np.ndarray, doc: np.ndarray
         # cells before the first of this stretch may begin passages that reach into it: their sums are carried by overlap
         back = int(np.searchsorted(at[cfirst], c0 - per + 1))
         a, b = cfirst[back], upto
-        base = at[a]
+        base = max(c0 - per + 1, 0)
         sums = np.zeros((at[b - 1] - base + per, index.group.shape[1]), np.float32)
         sums[at[cfirst[back:hi]] - base] = np.add.reduceat(index.group[t[a:b]], cfirst[back:hi] - a, axis=0)
         n = at[b - 1] - base + 1
