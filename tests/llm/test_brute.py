@@ -187,6 +187,36 @@ def test_planted_item_deep_in_a_long_text(spark):
     assert [r.doc_id for r in decontam.decontaminated(d, i).collect()] == [2]
 
 
+def test_items_with_one_word_replaced_or_dropped(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    ask = "Which metal is liquid at room temperature and was once used in every household thermometer?"
+    items += [(10_000, f"{ask} Mercury was used for this purpose."), (10_001, f"{ask} Mercury.")]
+    rows, own = [], []
+    for i, text in items:
+        w = text.split()
+        for k in range(len(w)):
+            for mid in (["replacement"], []):
+                rows.append((len(rows), " ".join(w[:k] + mid + w[k + 1 :])))
+                own.append(i)
+    only_answer = (len(rows), "He said that mercury was used for this purpose. And then he went home.")
+    d = spark.createDataFrame([*rows, only_answer], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not set(enumerate(own)) - found
+    assert only_answer[0] not in {d for d, _ in found}
+
+
+@given(st.lists(st.integers(0, 3), max_size=6), st.lists(st.integers(0, 3), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_edits_by_brute_force(part, text):
+    def distance(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(distance(a[1:], b[1:]) + (a[0] != b[0]), distance(a[1:], b) + 1, distance(a, b[1:]) + 1)
+
+    want = min(distance(part, text[i:j]) for i in range(len(text) + 1) for j in range(i, min(len(text), i + len(part)) + 1))
+    assert decontam.edits(np.array(part, np.uint64), np.array(text, np.uint64)) == want
+
+
 def test_item_after_a_cell_of_foreign_words(spark):
     item = "Which metal is liquid at room temperature and was once used in every household thermometer? Mercury was used for this purpose."
     d = spark.createDataFrame([(1, " ".join(f"foreign{i}" for i in range(32)) + " " + item)], "doc_id long, text string")

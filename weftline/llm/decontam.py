@@ -44,6 +44,16 @@ def grams(h: np.ndarray, n: int = 5) -> np.ndarray:
     return out
 
 
+def edits(part: np.ndarray, text: np.ndarray) -> int:
+    """Fewest words replaced, left out or put in that make ``part`` a run of ``text``."""
+    at = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for k, h in enumerate(part):
+        step = np.append(k + 1, np.minimum(row[:-1] + (text != h), row[1:] + 1))
+        row = np.minimum.accumulate(step - at) + at
+    return int(row.min())
+
+
 def _hashes(text: str) -> np.ndarray:
     return B.words(pa.array([text])).hash
 
@@ -212,13 +222,19 @@ def _codes(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Rule:
-    """When a passage leaks an item: its words, the step between passages, the least score, the least overlaps."""
+    """When a passage leaks an item: its words, the step between passages, the least score, the least overlaps.
+
+    ``whole`` is the least share of the item's words that stand as in the item
+    where question and answer are taken together; in an item of five words or
+    more one may always differ.
+    """
 
     passage_words: int = 64
     stride: int = 32
     least_score: float = 0.45
     question: float = 0.6
     answer: float = 0.6
+    whole: float = 0.9
 
 
 def _may_reach(index: Index, term: np.ndarray, cell: np.ndarray, doc: np.ndarray, per: int, least: float) -> np.ndarray:
@@ -284,7 +300,13 @@ def leaks(text: pa.Array, indexes: list[Index], rule: Rule) -> list[tuple[int, i
                 for part in (q, a):
                     g = np.unique(grams(part))
                     got.append(float(np.isin(g, grams_of(near, min(5, len(part)))).mean()) if len(g) else 1.0)
-                if got[0] >= rule.question and got[1] >= rule.answer:
+                leak = got[0] >= rule.question and got[1] >= rule.answer
+                if not leak:  # runs of five words are lost by an edit in each
+                    got = [max(x, 1.0 - edits(part, near) / len(part)) if len(part) else x for x, part in zip(got, (q, a), strict=True)]
+                    leak = got[0] >= rule.question and got[1] >= rule.answer
+                if not leak and m >= 5:
+                    leak = edits(np.concatenate([q, a]), near) <= max(1, int((1.0 - rule.whole) * m + 1e-9))
+                if leak:
                     best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (score, *got))
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
@@ -299,8 +321,11 @@ def contaminated(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> Data
     Texts are cut into overlapping passages that cover all their words; each
     passage is a query of its distinct words.  Entries whose score is at least
     ``least_score`` of what they score for themselves are retrieved; one counts
-    if enough runs of five words of both its question and its answer stand
-    around the passage.  Null and empty texts hold nothing; a row that is
+    if around the passage stand enough runs of five words of both its question
+    and its answer, or enough of the words of both in their order, each with
+    few edits, or nearly all of the item.  The overlaps are the greater of the
+    share of runs and that of unedited words, the latter only where it was needed.
+    Null and empty texts hold nothing; a row that is
     repeated is reported as often; null ids are reported as null.  Without items
     there are no rows.  A map: the index goes to the tasks, in several parts if
     it is large, and no text is shuffled.
