@@ -388,6 +388,20 @@ def test_pseudonyms(spark):
     assert pii.luhn_digit(card[:-1]) == card[-1]
 
 
+def test_compact_phone_numbers():
+    for v, cc in (("+31612345678", "+31"), ("+15551234567", "+1"), ("+35312345678", "+353"), ("+74951234567", "+7"), ("+85212345678", "+852")):
+        for after in ("", " 2024 too", " 12345", ", 4111 and"):
+            text = f"call {v}{after}"
+            new, n = pii.pseudonymise(text, b"k")
+            assert n == 1 and v not in new and new.startswith(f"call {cc}") and len(new) == len(text)
+            assert pii.pseudonymise(new, b"k", undo=True) == (text, n)
+    (a, _), (b, _) = pii.pseudonymise("+31612345678", b"k"), pii.pseudonymise("x +31612345678 12", b"k")
+    assert b == f"x {a} 12"  # linked beside other numbers
+    assert pii.pseudonymise("+3161234 5678", b"k")[0].startswith("+31")
+    assert pii.pseudonymise("+3161234 5678", b"k")[1] == 1
+    assert pii.pseudonymise("+99912345678 and +1234567", b"k") == ("+99912345678 and +1234567", 0)
+
+
 @given(st.integers(2, 5000), st.binary(min_size=1, max_size=8))
 @settings(max_examples=30, deadline=None)
 def test_feistel_is_a_permutation(size, key):

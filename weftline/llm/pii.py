@@ -109,12 +109,21 @@ def _card(s: str, key: bytes, undo: bool) -> str | None:
     return _refill(s, p + luhn_digit(p))
 
 
+#: Assigned country codes (E.164), none of which begins another; of 21, 22 and so on the third digit counts.
+_COUNTRY = re.compile(
+    "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    "|21[1-368]|22\\d|23\\d|24\\d|25[0-8]|26\\d|29[01789]|35\\d|37\d|38[0-35-79]|42[013]|50\\d|59\\d"
+    "|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[0-48]|88[0-368]|96[0-8]|97[0-79]|99[2-68]"
+)
+
+
 def _phone(s: str, key: bytes, undo: bool) -> str | None:
+    """The country code stays: the digits up to a separator within three, else those of the table."""
     m = re.match(r"\+(\d{1,3})(?=\D)", s)
+    cc = m.group(1) if m else (c := _COUNTRY.match(s, 1)) and c.group()
     d = re.sub(r"\D", "", s)
-    if not m or not 8 <= len(d) <= 15:
+    if not cc or not 8 <= len(d) <= 15:
         return None
-    cc = m.group(1)
     return _refill(s, cc + _classwise(d[len(cc) :], key, "phone" + cc, undo, _DIGITS))
 
 
@@ -200,7 +209,7 @@ KINDS = (
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip),
     ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w]|[-/.]\d)", _date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", _ssn),
-    ("phone", r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
+    ("phone", r"(?<!\w)\+\d{8,15}(?!\d)|(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)", _card),
 )
 _ONE = [(name, re.compile(p), f) for name, p, f in KINDS]
