@@ -402,6 +402,24 @@ def test_compact_phone_numbers():
     assert pii.pseudonymise("+99912345678 and +1234567", b"k") == ("+99912345678 and +1234567", 0)
 
 
+def test_cards_beside_other_numbers():
+    card = "4111 1111 1111 1111"
+    alone = pii.pseudonymise(card, b"k")[0]
+    for form in ("{} 12/27", "{} 12-27", "{} 123", "42 {}", "7 {} 12/27", "1234 {}", "2021-02-28 {} 12", "{} 31/12/2027", "123-45-6789 {}"):
+        text = "paid " + form.format(card) + " ok"
+        new, n = pii.pseudonymise(text, b"k")
+        assert n >= 1 and card not in new and len(new) == len(text)
+        assert pii.pseudonymise(new, b"k", undo=True) == (text, n)
+    assert pii.pseudonymise(f"{card} 12/27", b"k")[0] == f"{alone} 12/27"  # linked
+    assert pii.pseudonymise("42 4111-1111-1111-1111", b"k")[1] == 1
+    assert pii.pseudonymise(f"{card} 4012 8888 8888 1881", b"k")[1] == 2
+    rng = random.Random(7)
+    for _ in range(150):
+        text = "".join(rng.choice("0123456789") + rng.choice(["", "", "", " ", "-"]) for _ in range(rng.randint(13, 90))) + "x y"
+        new, n = pii.pseudonymise(text, b"k")
+        assert pii.pseudonymise(new, b"k", undo=True) == (text, n)
+
+
 @given(st.integers(2, 5000), st.binary(min_size=1, max_size=8))
 @settings(max_examples=30, deadline=None)
 def test_feistel_is_a_permutation(size, key):

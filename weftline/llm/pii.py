@@ -101,18 +101,70 @@ def _email(s: str, key: bytes, undo: bool) -> str:
     return _classwise(local, key, "email@" + domain.lower(), undo) + "@" + domain
 
 
-def _card(s: str, key: bytes, undo: bool) -> str | None:
-    d = re.sub(r"\D", "", s)
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or not d.strip("0"):
-        return None
+def _is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and bool(d.strip("0"))
+
+
+def _card(d: str, key: bytes, undo: bool) -> str:
     p = _classwise(d[:-1], key, "card", undo, _DIGITS)
-    return _refill(s, p + luhn_digit(p))
+    return p + luhn_digit(p)
+
+
+#: Digits in the groups of printed cards; a single group is one too.
+_PRINTED = {(4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+
+
+def _cards(s: str, key: bytes, undo: bool) -> list[tuple[int, int, str]]:
+    """Ranges of the cards in ``s``, digits in groups, and what replaces them.
+
+    Runs of groups of 13 to 19 digits are tried, those grouped like printed
+    cards first, then the longest, then the first.  A card is replaced by the
+    next of its cycle with which no run tried before it becomes valid, so that
+    the text is read the same way again.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", s)]
+    digits = "".join(s[a:b] for a, b in groups)
+    first = [0]
+    for a, b in groups:
+        first.append(first[-1] + b - a)
+    tries = []
+    for i in range(len(groups)):
+        for j in range(i + 1, len(groups) + 1):
+            n = first[j] - first[i]
+            if n > 19:
+                break
+            if n >= 13:
+                shape = tuple(b - a for a, b in groups[i:j])
+                tries.append((len(shape) > 1 and shape not in _PRINTED, -n, i, j))
+    used = [False] * len(groups)
+    cards, failed = [], []
+    for _, _, i, j in sorted(tries):
+        if any(used[i:j]):
+            continue
+        if _is_card(digits[first[i] : first[j]]):
+            used[i:j] = [True] * (j - i)
+            cards.append((i, j, len(failed)))
+        else:
+            failed.append((i, j))
+    # each depends on those replaced before it: undone in the opposite order
+    for i, j, n in reversed(cards) if undo else cards:
+        near = [(first[x], first[y]) for x, y in failed[:n] if x < j and i < y]
+        a, b = first[i], first[j]
+        while True:
+            digits = digits[:a] + _card(digits[a:b], key, undo) + digits[b:]
+            if not any(_is_card(digits[x:y]) for x, y in near):
+                break
+    out = []
+    for i, j, _ in cards:
+        a, b = groups[i][0], groups[j - 1][1]
+        out.append((a, b, _refill(s[a:b], digits[first[i] : first[j]])))
+    return out
 
 
 #: Assigned country codes (E.164), none of which begins another; of 21, 22 and so on the third digit counts.
 _COUNTRY = re.compile(
     "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-    "|21[1-368]|22\\d|23\\d|24\\d|25[0-8]|26\\d|29[01789]|35\\d|37\d|38[0-35-79]|42[013]|50\\d|59\\d"
+    "|21[1-368]|22\\d|23\\d|24\\d|25[0-8]|26\\d|29[01789]|35\\d|37\\d|38[0-35-79]|42[013]|50\\d|59\\d"
     "|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[0-48]|88[0-368]|96[0-8]|97[0-79]|99[2-68]"
 )
 
@@ -210,15 +262,17 @@ KINDS = (
     ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w]|[-/.]\d)", _date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", _ssn),
     ("phone", r"(?<!\w)\+\d{8,15}(?!\d)|(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)", _card),
 )
+#: Digits in groups, among which cards are looked for; other kinds may take some of the groups.
+_DIGIT_RUN = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w]|[-.]\d)")
 _ONE = [(name, re.compile(p), f) for name, p, f in KINDS]
 
 
 def pseudonymise(text: str, key: bytes, undo: bool = False) -> tuple[str, int]:
     """``text`` with every validated value replaced, and how many there were; ``undo`` restores the values.
 
-    Kinds are tried one after another, each on what the earlier ones left.
+    Kinds are tried one after another, each on what the earlier ones left, and
+    cards last.
     """
     n = 0
     taken: list[tuple[int, int, str]] = []
@@ -231,6 +285,14 @@ def pseudonymise(text: str, key: bytes, undo: bool = False) -> tuple[str, int]:
             if new is not None:
                 taken.append((a, b, new))
                 n += 1
+    for m in _DIGIT_RUN.finditer(text):
+        at, end = m.span()
+        for a, b, _ in [*sorted(t for t in taken if t[0] < end and at < t[1]), (end, end, "")]:
+            if a > at:
+                found = [(at + x, at + y, new) for x, y, new in _cards(text[at:a], key, undo)]
+                taken += found
+                n += len(found)
+            at = max(at, b)
     if not n:
         return text, 0
     out, at = [], 0
@@ -244,13 +306,14 @@ def pseudonyms(docs: DataFrame, key: bytes, count_col: str | None = "n_private",
     """``docs`` with the personal data of ``text`` replaced, and the number of values replaced in ``count_col``.
 
     Replaced are e-mail addresses (the part before @), card numbers that pass
-    the Luhn check, IBANs that pass theirs, phone numbers with a country code,
+    the Luhn check (also beside other numbers, at the bounds of their groups), IBANs that pass theirs, phone numbers with a country code,
     US social security numbers and IPv4 addresses in their valid ranges, dates
     that exist, and hexadecimal secrets.  What isn't valid is left as it is.
     Every replacement is valid again, of the same format and length (addresses
     of the internet apart, whose parts vary in length).  Equal values get equal
-    pseudonyms wherever they occur, since only the key and the format count;
-    with the key the replacement can be undone.
+    pseudonyms wherever they occur, since only the key and the format count
+    (a card beside numbers with which its pseudonym would be read differently
+    gets another); with the key the replacement can be undone.
 
     Null and empty texts stay, with a count of 0; all other columns pass
     through, and a column named like ``count_col`` is kept under its name while
