@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.session import ensure_workers
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local master gets a temporary one where it is unset."""
     ensure_workers(spark)
