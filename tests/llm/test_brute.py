@@ -55,6 +55,44 @@ def test_near_duplicates_recall(spark, docs):
         assert max(len(sh[d] & sh[m]) / len(sh[d] | sh[m]) for m in mates) >= 0.3
 
 
+def test_near_duplicates_of_repeated_ids_in_any_layout(spark):
+    """Texts are compared, not ids: P + x under id 2 is a copy of P, Q under the same id is the first of its own group."""
+    rng = random.Random(11)
+    p, q = (" ".join(rng.choice("abcdefghijkl") * 2 + str(rng.randint(0, 999)) for _ in range(120)) for _ in "pq")
+    rows = [(1, p), (2, p + " x"), (2, q), (3, q + " y"), (4, q.upper()), (4, q.upper()), (5, "other words")]
+    for parts in (1, 4, 16):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
+        assert sorted(map(tuple, minhash.near_duplicates(d).collect())) == [(2, 1), (3, 2), (4, 2)]
+        assert sorted(map(tuple, minhash.keep_first(d).collect())) == sorted([(1, p), (2, q), (5, "other words")])
+
+
+@given(st.lists(st.lists(st.integers(0, 3), min_size=4, max_size=4), min_size=1, max_size=14), st.sampled_from([0.5, 0.75]))
+@settings(max_examples=80, deadline=None)
+def test_buckets_lose_no_connection(rows, threshold):
+    s = np.array(rows, np.uint16)
+    near = [(a, b) for a in range(len(s)) for b in range(a) if (s[a] == s[b]).mean() >= threshold]
+
+    def groups(edges):
+        root = list(range(len(s)))
+        for a, b in edges:
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+        return root
+
+    got = minhash.link_bucket(s, threshold)
+    assert groups(got) == groups(near) and {tuple(sorted(e)) for e in got} <= {tuple(sorted(e)) for e in near}
+
+
+def test_large_buckets_are_linked_like_small_ones(spark, monkeypatch):
+    base = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:50] + [f"own{i}"] * (i % 3) + base[50:])) for i in range(12)] + [(20 + i, " ".join(f"x{i}y{k}" for k in range(40))) for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(d).collect()))
+    assert want == [(i, 0) for i in range(1, 12)]
+    monkeypatch.setattr(minhash, "IN_TASK", 4)
+    assert sorted(map(tuple, minhash.near_duplicates(d).collect())) == want
+
+
 def test_min_max_is_unbiased():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 3000, np.uint64)) for _ in range(2))

@@ -2,59 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import ensure_workers
+from weftline.storage import checkpoint, new_folder, shared_dir, written
+
+__all__ = ["MAX_BROADCAST_ROWS", "checkpoint", "components", "ensure_workers", "few", "fresh", "maybe_broadcast", "new_folder", "shared_dir", "union_of", "written"]
 
 #: Rows of at most a few dozen bytes that may be broadcast; beyond it joins are shuffled.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is made, which is right only for a
-    local master: any other master raises.
-    """
-    ensure_workers(spark)
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if at is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="weftline-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", "file://" + at)
-        at = "file://" + at
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: columnar, so later reads prune."""
-    spark = df.sparkSession
-    at = new_folder(spark, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def few(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``most`` rows; reads no more than that."""
     return df.limit(most + 1).count() <= most
@@ -65,6 +26,10 @@ def maybe_broadcast(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, most) else df
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A name for each of ``names`` that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -78,7 +43,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b): rows (node, root) for every node but the roots; a root is the least id.
+    """Connected components of ``edges`` (a, b), ids of any type that is ordered: rows (node, root) for every node but the roots; a root is the least id.
 
     Alternating large-star and small-star rounds; each is two joins on ids
     alone and every round is checkpointed.  Self loops and repeated edges are
