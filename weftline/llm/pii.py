@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -127,37 +128,56 @@ def _cards(s: str, key: bytes, undo: bool) -> list[tuple[int, int, str]]:
     first = [0]
     for a, b in groups:
         first.append(first[-1] + b - a)
-    tries = []
+    # sums of the digits as the Luhn check counts them, those of even and of odd places doubled, and how many are not 0
+    sums, some = ([0], [0]), [0]
+    for k, c in enumerate(digits):
+        d = int(c)
+        twice = d * 2 - 9 if d > 4 else d * 2
+        sums[k % 2].append(sums[k % 2][-1] + twice)
+        sums[1 - k % 2].append(sums[1 - k % 2][-1] + d)
+        some.append(some[-1] + (d > 0))
+    tries, right = [], set()
     for i in range(len(groups)):
         for j in range(i + 1, len(groups) + 1):
-            n = first[j] - first[i]
-            if n > 19:
+            x, y = first[i], first[j]
+            if y - x > 19:
                 break
-            if n >= 13:
-                shape = tuple(b - a for a, b in groups[i:j])
-                tries.append((len(shape) > 1 and shape not in _PRINTED, -n, i, j))
+            if y - x >= 13:
+                shape = () if j - i > 5 else tuple(b - a for a, b in groups[i:j])
+                tries.append((j - i > 1 and shape not in _PRINTED, x - y, i, j))
+                if (sums[y % 2][y] - sums[y % 2][x]) % 10 == 0 and some[y] > some[x]:
+                    right.add((i, j))
+    if not right:
+        return []
     used = [False] * len(groups)
     cards, failed = [], []
     for _, _, i, j in sorted(tries):
         if any(used[i:j]):
             continue
-        if _is_card(digits[first[i] : first[j]]):
+        if (i, j) in right:
             used[i:j] = [True] * (j - i)
             cards.append((i, j, len(failed)))
         else:
             failed.append((i, j))
+    beside = {g for i, j, _ in cards for g in range(i, j)}
+    over: dict[int, list[tuple[int, int, int]]] = {}  # by group of a card: the failed runs that have it, at most 19 groups long each
+    for k, (i, j) in enumerate(failed):
+        for g in range(i, j):
+            if g in beside:
+                over.setdefault(g, []).append((k, i, j))
     # each depends on those replaced before it: undone in the opposite order
+    parts = list(digits)
     for i, j, n in reversed(cards) if undo else cards:
-        near = [(first[x], first[y]) for x, y in failed[:n] if x < j and i < y]
+        near = [(first[x], first[y]) for k, x, y in sorted({r for g in range(i, j) for r in over.get(g, ())}) if k < n]
         a, b = first[i], first[j]
         while True:
-            digits = digits[:a] + _card(digits[a:b], key, undo) + digits[b:]
-            if not any(_is_card(digits[x:y]) for x, y in near):
+            parts[a:b] = _card("".join(parts[a:b]), key, undo)
+            if not any(_is_card("".join(parts[x:y])) for x, y in near):
                 break
     out = []
     for i, j, _ in cards:
         a, b = groups[i][0], groups[j - 1][1]
-        out.append((a, b, _refill(s[a:b], digits[first[i] : first[j]])))
+        out.append((a, b, _refill(s[a:b], "".join(parts[first[i] : first[j]]))))
     return out
 
 
@@ -255,7 +275,6 @@ def _hex(s: str, key: bytes, undo: bool) -> str | None:
 
 #: Kind, pattern, replacement; of those that begin at a place the first that is valid counts.
 KINDS = (
-    ("email", r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", _hex),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip),
@@ -263,43 +282,65 @@ KINDS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", _ssn),
     ("phone", r"(?<!\w)\+\d{8,15}(?!\d)|(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
 )
+#: What follows the @ of an address; at most 253 characters are one.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: The part before it, which has at most 64 characters.
+_LOCAL = re.compile(r"[\w.%+-]+\Z")
 #: Digits in groups, among which cards are looked for; other kinds may take some of the groups.
 _DIGIT_RUN = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w]|[-.]\d)")
 _ONE = [(name, re.compile(p), f) for name, p, f in KINDS]
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, looked for from every @ outwards, so that a long run without one costs nothing."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        m = _DOMAIN.match(text, at + 1)
+        if m and m.end() - at <= 254:
+            local = _LOCAL.search(text[max(done, at - 65) : at])
+            if local and at - 65 < (a := at - len(local.group())):
+                yield a, m.end()
+                done = m.end()
+        at = text.find("@", max(done, at + 1))
+
+
 def pseudonymise(text: str, key: bytes, undo: bool = False) -> tuple[str, int]:
     """``text`` with every validated value replaced, and how many there were; ``undo`` restores the values.
 
     Kinds are tried one after another, each on what the earlier ones left, and
-    cards last.
+    cards last.  The time is linear in the text but for sorting the values.
     """
-    n = 0
-    taken: list[tuple[int, int, str]] = []
+    taken = [(a, b, _email(text[a:b], key, undo)) for a, b in _emails(text)]
     for _, pat, f in _ONE:
+        ends = [b for _, b, _ in taken]
+        found = []
         for m in pat.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y, _ in taken):
+            k = bisect.bisect_right(ends, a)  # the first of those before that ends after a
+            if k < len(taken) and taken[k][0] < b:
                 continue
             new = f(m.group(), key, undo)
             if new is not None:
-                taken.append((a, b, new))
-                n += 1
+                found.append((a, b, new))
+        taken = sorted(taken + found)
+    ends = [b for _, b, _ in taken]
+    found = []
     for m in _DIGIT_RUN.finditer(text):
         at, end = m.span()
-        for a, b, _ in [*sorted(t for t in taken if t[0] < end and at < t[1]), (end, end, "")]:
+        k = bisect.bisect_right(ends, at)
+        while at < end:
+            a, b = taken[k][:2] if k < len(taken) and taken[k][0] < end else (end, end)
             if a > at:
-                found = [(at + x, at + y, new) for x, y, new in _cards(text[at:a], key, undo)]
-                taken += found
-                n += len(found)
-            at = max(at, b)
-    if not n:
+                found += [(at + x, at + y, new) for x, y, new in _cards(text[at:a], key, undo)]
+            at, k = max(at, b), k + 1
+    taken = sorted(taken + found)
+    if not taken:
         return text, 0
     out, at = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in taken:
         out += [text[at:a], new]
         at = b
-    return "".join([*out, text[at:]]), n
+    return "".join([*out, text[at:]]), len(taken)
 
 
 def pseudonyms(docs: DataFrame, key: bytes, count_col: str | None = "n_private", undo: bool = False) -> DataFrame:
@@ -315,7 +356,8 @@ def pseudonyms(docs: DataFrame, key: bytes, count_col: str | None = "n_private",
     (a card beside numbers with which its pseudonym would be read differently
     gets another); with the key the replacement can be undone.
 
-    Null and empty texts stay, with a count of 0; all other columns pass
+    An address has at most 64 characters before the @ and 253 behind it.  Null
+    and empty texts stay, with a count of 0, and repeated rows get the same; all other columns pass
     through, and a column named like ``count_col`` is kept under its name while
     the count takes a fresh one.  A map: nothing is shuffled, and only texts with
     a digit or an @ are looked at in Python.
