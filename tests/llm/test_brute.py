@@ -93,6 +93,59 @@ def test_large_buckets_are_linked_like_small_ones(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(d).collect())) == want
 
 
+def test_what_a_bucket_connects_does_not_depend_on_its_size(spark, monkeypatch):
+    """A member near the least of a bucket may be all that joins another to it, and share no other band with it."""
+    rng = np.random.default_rng(5)
+    rows, first = [], 0
+    for band, (n, most) in enumerate([(3, 3), (9, 3), (25, 4), (40, 4), (40, 6), (60, 5), (30, 2)]):
+        s = rng.integers(0, most, (n, 8)).astype(np.uint16)
+        rows += [(first + k, 7, [band], x.tobytes(), x) for k, x in enumerate(s)]
+        first += n
+    # 0.5 from the least each, and 0.25, but both 0.5 from the same one
+    chain = [[0] * 8, [0] * 4 + [1] * 4, [0, 0] + [2] * 2 + [1] * 4]
+    rows += [(first + k, 7, [99], np.array(x, np.uint16).tobytes(), np.array(x)) for k, x in enumerate(chain)]
+    root = {r[0]: r[0] for r in rows}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[2] == b[2] and (a[4] == b[4]).mean() >= 0.5:
+                ra, rb = root[a[0]], root[b[0]]
+                root = {k: min(ra, rb) if r in (ra, rb) else r for k, r in root.items()}
+    want = {k: r for k, r in root.items() if k != r}
+    assert want[first + 2] == first
+    reps = spark.createDataFrame([r[:4] for r in rows], "doc_id long, t long, bands array<long>, sketch binary")
+    for most in (4096, 8, 2):
+        monkeypatch.setattr(minhash, "IN_TASK", most)
+        got = minhash.components(minhash.link(reps, 0.5)).collect()
+        assert {r.node.doc_id: r.root.doc_id for r in got} == want, most
+
+
+@given(st.lists(st.lists(st.integers(0, 3), min_size=4, max_size=4), min_size=1, max_size=14), st.data())
+@settings(max_examples=80, deadline=None)
+def test_two_sides_lose_no_connection(rows, data):
+    s, second = np.array(rows, np.uint16), data.draw(st.integers(0, len(rows)))
+    near = {(a, b) for a in range(second) for b in range(second, len(s)) if (s[a] == s[b]).mean() >= 0.5}
+    got = {tuple(sorted(e)) for e in minhash.link_bucket(s, 0.5, second)}
+
+    def groups(edges):
+        root = list(range(len(s)))
+        for a, b in edges:
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+        return root
+
+    assert got <= near and groups(got) == groups(near)
+
+
+def test_rows_that_are_repeated_hide_no_bucket(spark):
+    """1 and 2, and 1 and 3, share buckets; 2 and 3 are repeated, so that either bucket has as many rows and the same xor of hashes."""
+    rng = random.Random(1)
+    w = [f"w{rng.randint(0, 10**9)}" for _ in range(180)]
+    m, a, b = w[:120], w[:90] + w[120:150], w[150:] + w[30:120]
+    rows = [(i, " ".join(x)) for i, x in ((1, m), (2, a), (2, a), (3, b), (3, b))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(d).collect())) == [(2, 1), (3, 1)]
+
+
 def test_min_max_is_unbiased():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 3000, np.uint64)) for _ in range(2))
