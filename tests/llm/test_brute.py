@@ -530,6 +530,21 @@ def test_warc_index_of_foreign_files(spark, tmp_path):
     assert got == {f"http://h/{i}": f"<p>{i}</p>" * i for i in range(50) if i % 10 == 7}
 
 
+def test_first_of_copies_does_not_depend_on_the_size_of_buckets(spark, monkeypatch):
+    """Of four texts in a row each is near the next only; whatever bucket they share, one stays."""
+    near = lambda a, b: (a == b).mean() >= 0.5
+    chain = np.array([[0] * 8, [0] * 4 + [1] * 4, [0, 0] + [2] * 2 + [1] * 4, [0, 0, 2, 2, 3, 3, 3, 3]], np.uint16)
+    assert [(a, b) for a in range(4) for b in range(a) if near(chain[a], chain[b])] == [(1, 0), (2, 1), (3, 2)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id long, text string").coalesce(1)
+    sig = docs.selectExpr("doc_id", "xxhash64(text) AS t", "doc_id AS h1", "doc_id AS h2", "array(5L) AS bands").join(
+        spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(chain)], "doc_id long, sketch binary"), "doc_id"
+    )
+    monkeypatch.setattr(minhash, "signatures", lambda *a: sig)
+    for most in (4096, 2):
+        monkeypatch.setattr(minhash, "IN_TASK", most)
+        assert [r.doc_id for r in minhash.keep_first(docs).collect()] == [0], most
+
+
 def test_pipeline_by_hand(spark):
     """The decisions of every stage, followed on the ids."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
