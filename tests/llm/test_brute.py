@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -545,6 +546,40 @@ def test_first_of_copies_does_not_depend_on_the_size_of_buckets(spark, monkeypat
         assert [r.doc_id for r in minhash.keep_first(docs).collect()] == [0], most
 
 
+@pytest.mark.parametrize("stage", ["graded", "signatures", "decontaminated", "token_ids"])
+def test_stages_of_the_pipeline_hold_little_memory(spark, monkeypatch, stage):
+    """Beside a batch of 6 MB of text, which is most of what a worker keeps, no stage takes more than 60 MB of arrays."""
+
+    class Docs:  # instead of a DataFrame: gives the function that the workers run
+        columns, schema = ["doc_id", "text"], spark.createDataFrame([], "doc_id long, text string").schema
+        select = where = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    monkeypatch.setattr(B, "_pow", [np.ones(1, B.U64), np.ones(1, B.U64)])
+    monkeypatch.setattr(decontam, "build_indexes", lambda *a, **k: [])
+    monkeypatch.setattr(tokenbin, "_encoders", {})  # a table made here would be sent to workers later
+    run = {
+        "graded": lambda: quality.graded(Docs(), list("abcd")),
+        "signatures": lambda: minhash.signatures(Docs(), 3, 64, 4, 7),
+        "decontaminated": lambda: decontam.decontaminated(Docs(), None),
+        "token_ids": lambda: tokenbin.token_ids(Docs(), RANKS),
+    }[stage]()
+    rng = np.random.default_rng(2)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)) for _ in range(3000)])
+    ids = pa.array(np.arange(len(text)))
+    cols = [ids, ids, text] if stage == "signatures" else [ids, text]
+    batch = pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "text"] if len(cols) == 3 else ["doc_id", "text"])
+    small = batch.slice(0, 5)
+    assert sum(out.num_rows for out in run(iter([small]))) == 5  # tables that stay are made
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(text) and most < 60e6, most / 1e6
+
+
 def test_pipeline_by_hand(spark):
     """The decisions of every stage, followed on the ids."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

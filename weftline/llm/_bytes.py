@@ -15,6 +15,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 #: Bytes of text that are worked on at once; the arrays take some 40 times as much.
 CHUNK = 3 << 20
+#: The same for the stages of a pipeline, whose workers keep memory beside each other's and the executor's.
+STAGE_CHUNK = 1 << 20
 
 _WORD = np.zeros(256, np.bool_)
 for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":

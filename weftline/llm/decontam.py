@@ -335,7 +335,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, ids = B.filled(batch.column(1)), batch.column(0)
-            for lo, hi in B.pieces(text, B.CHUNK // 2):
+            for lo, hi in B.pieces(text, B.STAGE_CHUNK // 2):
                 rows = leaks(text.slice(lo, hi - lo), indexes, rule)
                 if rows:
                     d, i, s, q, a = zip(*rows, strict=True)
@@ -352,10 +352,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = B.filled(batch.column(at))
-            keep = np.ones(len(text), np.bool_)
-            for lo, hi in B.pieces(text, B.CHUNK // 2):
+            for lo, hi in B.pieces(text, B.STAGE_CHUNK // 2):
+                keep = np.ones(hi - lo, np.bool_)
                 for row in leaks(text.slice(lo, hi - lo), indexes, rule):
-                    keep[lo + row[0]] = False
-            yield batch.filter(pa.array(keep))
+                    keep[row[0]] = False
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, width: int, permutations: int, rows: int, seed:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, ids, t = B.filled(batch.column(2)), batch.column(0), batch.column(1)
-            for lo, hi in B.pieces(text):
+            for lo, hi in B.pieces(text, B.STAGE_CHUNK):
                 part = text.slice(lo, hi - lo)
                 w = B.words(part)
                 has = np.flatnonzero(np.diff(w.first) > 0)

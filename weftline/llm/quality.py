@@ -79,9 +79,9 @@ def graded(docs: DataFrame, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = B.filled(batch.column(at))
-            parts = [grades(text.slice(lo, hi - lo)) for lo, hi in B.pieces(text)]
-            cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cols)], [*batch.schema.names, *names])
+            for lo, hi in B.pieces(text, B.STAGE_CHUNK):
+                cols = grades(text.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *map(pa.array, cols)], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

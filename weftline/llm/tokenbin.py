@@ -194,7 +194,7 @@ class Encoder:
 
     def _plain(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts, lengths, keys = [], [], []
-        for lo, hi in B.pieces(text, B.CHUNK // 2):
+        for lo, hi in B.pieces(text, B.STAGE_CHUNK // 2):
             part = text.slice(lo, hi - lo)
             raw, boff = B.buffer(part)
             if not len(raw):
@@ -260,7 +260,7 @@ def token_ids(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
         enc = _encoders[tokenizer]
         for batch in batches:
             text = B.filled(batch.column(1))
-            for lo, hi in B.pieces(text, B.CHUNK // 2):
+            for lo, hi in B.pieces(text, B.STAGE_CHUNK // 2):
                 rows = hi - lo
                 ids, f = enc(text.slice(lo, rows))
                 words, wf, offs, bf = encode(ids, f, block)
