@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import forest
+
 #: Names of attributes in patterns that differ from those of columns.
 ALIASES = {"text": "word", "tag": "pos"}
 
@@ -162,6 +165,40 @@ def _holds(conds: tuple[Condition, ...], token: Column) -> Column:
     return out
 
 
+def _matches(a: Automaton, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and stop of all matches in sequences of ``n`` tokens each, whose predicates are the bits of ``flat``."""
+    follow = [(p, q) for p, qs in a.follow.items() for q in sorted(qs)]
+    base = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    stop = base[1:][row]
+    rows, starts, stops = [], [], []
+    begin = np.arange(len(flat))
+    active = np.zeros((len(begin), len(a.predicate)), np.bool_)
+    for p in a.first:
+        active[:, p] = True
+    length = 0
+    while len(begin):
+        at = begin + length
+        inside = at < stop[begin]
+        begin, active, at = begin[inside], active[inside], at[inside]
+        bits = flat[at]
+        for p, k in enumerate(a.predicate):
+            active[:, p] &= (bits >> k) & 1 > 0
+        length += 1
+        hit = begin[active[:, sorted(a.last)].any(axis=1)]
+        rows.append(row[hit])
+        starts.append(hit - base[row[hit]])
+        stops.append(hit - base[row[hit]] + length)
+        nxt = np.zeros_like(active)
+        for p, q in follow:
+            nxt[:, q] |= active[:, p]
+        live = nxt.any(axis=1)
+        begin, active = begin[live], nxt[live]
+    r, begins, ends = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, starts, stops))
+    order = np.lexsort((ends, begins, r))
+    return r[order], begins[order].astype(np.int32), ends[order].astype(np.int32)
+
+
 def find(sequences: DataFrame, pattern: str, keys: list[str], tokens: str = "tokens", legacy: bool = False) -> DataFrame:
     """Rows (keys..., start, stop) of all matches: every beginning, every length, overlapping ones too.
 
@@ -177,47 +214,39 @@ def find(sequences: DataFrame, pattern: str, keys: list[str], tokens: str = "tok
     mask = F.transform(F.col(tokens), lambda t: sum((F.when(_holds(p, t), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(preds[1:], 1)), F.when(_holds(preds[0], t), F.lit(1)).otherwise(F.lit(0)).cast("long")))
     src = sequences.select(*keys, mask.alias("_mask")).where("_mask IS NOT NULL AND size(_mask) > 0")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + (", " if keys else "") + "start int, stop int"
-    follow = [(p, q) for p, qs in a.follow.items() for q in sorted(qs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(len(keys))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            base = np.concatenate([[0], np.cumsum(n)])
-            row = np.repeat(np.arange(len(n)), n)
-            stop = base[1:][row]
-            rows, starts, stops = [], [], []
-            begin = np.arange(len(flat))
-            active = np.zeros((len(begin), len(a.predicate)), np.bool_)
-            for p in a.first:
-                active[:, p] = True
-            length = 0
-            while len(begin):
-                at = begin + length
-                inside = at < stop[begin]
-                begin, active, at = begin[inside], active[inside], at[inside]
-                bits = flat[at]
-                for p, k in enumerate(a.predicate):
-                    active[:, p] &= (bits >> k) & 1 > 0
-                length += 1
-                hit = begin[active[:, sorted(a.last)].any(axis=1)]
-                rows.append(row[hit])
-                starts.append(hit - base[row[hit]])
-                stops.append(hit - base[row[hit]] + length)
-                nxt = np.zeros_like(active)
-                for p, q in follow:
-                    nxt[:, q] |= active[:, p]
-                live = nxt.any(axis=1)
-                begin, active = begin[live], nxt[live]
-            if rows:
-                r = np.concatenate(rows)
-                order = np.lexsort((np.concatenate(stops), np.concatenate(starts), r))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(r[order])) for i in range(len(keys))), pa.array(np.concatenate(starts)[order].astype(np.int32)), pa.array(np.concatenate(stops)[order].astype(np.int32))], [*keys, "start", "stop"])
+            r, start, stop = _matches(a, flat, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(r)) for i in range(len(keys))), pa.array(start), pa.array(stop)], [*keys, "start", "stop"])
 
     return src.mapInArrow(run, schema)
 
 
+def find_in_text(docs: DataFrame, pattern: str, legacy: bool = False) -> DataFrame:
+    """Rows (doc_id, eid, start, stop) of all matches in the sentences of documents (doc_id, text), the only attribute being the word; a map from documents on."""
+    a, preds = automaton(parse(pattern), legacy)
+    if len(preds) > 62:
+        raise PatternError("more than 62 different token expressions")
+    if odd := {c.attr for p in preds for c in p} - {"word"}:
+        raise PatternError(f"words of plain text have no {', '.join(sorted(odd))}")
+
+    def body(f: forest.Forest, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(len(f.words), np.int64)
+        for k, conds in enumerate(preds):
+            ok = np.ones(len(bits), np.bool_)
+            for c in conds:
+                ok &= pc.is_in(f.words, pa.array(c.values, pa.string())).to_numpy(zero_copy_only=False) != c.negated
+            bits |= ok.astype(np.int64) << k
+        s = np.flatnonzero(f.tag == forest.S)
+        r, start, stop = _matches(a, bits, f.last[s] - s)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(f.doc[s[r]])), pa.array(f.eid[s[r]].astype(np.int32)), pa.array(start), pa.array(stop)], ["doc_id", "eid", "start", "stop"])
+
+    return forest.mapped(docs, body, "doc_id string, eid int, start int, stop int")
+
+
 def matches(sequences: DataFrame, pattern: str, keys: list[str], tokens: str = "tokens") -> DataFrame:
     """The keys of sequences that match as a whole."""
     hit = find(sequences, pattern, keys, tokens)

@@ -18,14 +18,19 @@ innermost targets instead of what was found in them.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import tree
+from weftline.operators import forest, tree
 from weftline.plans import cql
-from weftline.sources.annotated import NOT_AUTH
+from weftline.sources.annotated import NOT_AUTH, elements_of_text
+from weftline.storage import written
 
 K = ["doc_id", "eid"]
 OPS = ("=", "==", "!=", "<", ">", "<=", ">=", "CONTAINS", "NOTCONTAINS", "MATCHES", "NOTMATCHES")
@@ -332,6 +337,125 @@ def run(elements: DataFrame, query: str | Query) -> DataFrame:
     return found.select(*elements.columns)
 
 
+class _Local:
+    """Queries on plain text, whose elements have a tag, words have text, and all other attributes are null: each is evaluated on a forest of whole documents."""
+
+    def __init__(self, queries: list[Query]):
+        self.queries = queries
+        self.patterns: list[str] = []
+        self.fits = queries[-1].action == "SELECT" and all(map(self._query, queries))
+
+    def _query(self, q: Query) -> bool:
+        if q.action not in ("SELECT", "EDIT", "DELETE") or q.span is not None or q.focus is None or q.give not in ("focus", "target"):
+            return False
+        if q.action == "EDIT" and (q.focus.tag != "w" or {ATTRS.get(k) for k in q.values} != {"text"}):
+            return False
+        if q.give == "target" and (q.action != "SELECT" or not q.targets):
+            return False
+        fits = all(map(self._selector, [q.focus, *(s for _, union in q.targets for s in union)]))
+        return fits and not (q.action == "EDIT" and self._later(q))
+
+    def _later(self, q: Query) -> bool:
+        """Whether a query after the edit ``q`` asks for patterns, which are matched before it."""
+        later = _Local.__new__(_Local)
+        later.patterns = []
+        rest = self.queries[next(i for i, x in enumerate(self.queries) if x is q) + 1 :]
+        for x in rest:
+            later._selector(x.focus or Selector())
+            for _, union in x.targets:
+                for s in union:
+                    later._selector(s)
+        return bool(later.patterns)
+
+    def _selector(self, s: Selector) -> bool:
+        return s.id is None and self._filter(s.filter)
+
+    def _filter(self, f: object) -> bool:
+        if isinstance(f, Logic):
+            return all([self._filter(p) for p in f.parts])
+        if isinstance(f, Has):
+            return self._filter(f.filter)
+        if isinstance(f, Compare):
+            if ATTRS.get(f.attr) == "text" and f.op in ("MATCHES", "NOTMATCHES") and f.value not in self.patterns:
+                self.patterns.append(f.value)
+            return ATTRS.get(f.attr) != "xml_id"
+        return True
+
+    def condition(self, f: forest.Forest, c: object) -> np.ndarray:
+        n = len(f.tag)
+        if c is None:
+            return np.ones(n, np.bool_)
+        if isinstance(c, Logic):
+            parts = [self.condition(f, p) for p in c.parts]
+            return ~parts[0] if c.op == "NOT" else np.logical_and.reduce(parts) if c.op == "AND" else np.logical_or.reduce(parts)
+        if isinstance(c, Has):
+            found = self.select(f, Selector(c.tag, None, c.set, c.filter))
+            if c.where == "below":
+                return f.above(found)
+            if c.where == "parent":
+                return f.children(found)
+            return f.beside(forest.TAGS.index(c.tag), found, c.where == "previous") if c.tag in forest.TAGS else np.zeros(n, np.bool_)
+        null = c.op == "!=" or c.op.startswith("NOT")
+        if ATTRS.get(c.attr) != "text":
+            return np.full(n, null)
+        if c.op in ("MATCHES", "NOTMATCHES"):
+            hit = (f.bits >> self.patterns.index(c.value)) & 1 > 0
+        elif c.op in ("CONTAINS", "NOTCONTAINS"):
+            hit = pc.match_substring(f.words, c.value).to_numpy(zero_copy_only=False)
+        else:
+            how = {"=": pc.equal, "==": pc.equal, "!=": pc.not_equal, "<": pc.less, ">": pc.greater, "<=": pc.less_equal, ">=": pc.greater_equal}[c.op]
+            hit = how(f.words, c.value).to_numpy(zero_copy_only=False)
+        return f.of_words(~hit if c.op.startswith("NOT") else hit, null)
+
+    def select(self, f: forest.Forest, s: Selector) -> np.ndarray:
+        tag = forest.TAGS.index(s.tag) if s.tag in forest.TAGS else -1
+        if s.set or (s.tag and tag < 0):
+            return np.zeros(len(f.tag), np.bool_)
+        found = self.condition(f, s.filter)
+        return found & (f.tag == tag) if s.tag else found
+
+    def within(self, f: forest.Forest, found: np.ndarray, how: str, anchors: np.ndarray) -> np.ndarray:
+        return found & (f.below(anchors) if how == "FOR" else f.children(anchors))
+
+    def run(self, f: forest.Forest) -> tuple[forest.Forest, np.ndarray]:
+        for q in self.queries:
+            anchors = outer = None
+            for how, union in reversed(q.targets):
+                found = np.logical_or.reduce([self.select(f, s) for s in union])
+                anchors, outer = found if anchors is None else self.within(f, found, outer, anchors), how
+            found = self.select(f, q.focus)
+            if anchors is not None:
+                found = self.within(f, found, q.targets[0][0], anchors)
+            if q.action == "DELETE":
+                f = f.without(found)
+            elif q.action == "EDIT":
+                f = replace(f, words=pc.if_else(pa.array(found[f.tag == forest.W]), [*q.values.values()][-1], f.words))
+            elif q.give == "target":
+                found = anchors & f.above(found)
+        return f, found
+
+
+def run_on_text(docs: DataFrame, *queries: str, columns: tuple[str, ...] = ("doc_id", "eid", "content")) -> DataFrame:
+    """Columns of what the last query, a SELECT, finds in documents (doc_id, text), after the edits before it.
+
+    A map from documents on, without their table of elements, but for what
+    that alone has (ids, spans, new elements, patterns on edited text).
+    """
+    parsed = [parse(q) for q in queries]
+    plan = _Local(parsed)
+    if not plan.fits or not set(columns) <= set(forest.COLUMNS) or len(plan.patterns) > 31:
+        e = written(elements_of_text(docs), "elements")
+        for q in parsed:
+            e = run(e, q)
+        return e.select(*columns)
+
+    def body(f: forest.Forest, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        f, found = plan.run(f)
+        yield f.rows(found, ids, list(columns))
+
+    return forest.mapped(docs, body, ", ".join(f"{c} {forest.COLUMNS[c]}" for c in columns), tuple(plan.patterns))
+
+
 def to_json(elements: DataFrame) -> DataFrame:
     """Rows (doc_id, json): each element's attributes as one JSON object in document order."""
     cols = [c for c in elements.columns if c not in ("doc_id", "path", "last")]
