@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1}
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,12 @@ def test_paragraph_text(docs, e):
     for tag in ("p", "s", "w", "text"):
         assert rows(forest.text_of(docs, tag).select("doc_id", "eid", "text")) == rows(tree.text_of(e, tag)), tag
     assert rows(forest.text_of(docs, "p").select("doc_id", "eid", "ord")) == rows(e.join(tree.text_of(e, "p"), ["doc_id", "eid"]).select("doc_id", "eid", "ord"))
+
+
+def test_token_pattern(docs, e):
+    w = tree.nearest_ancestor(e, "s", e.where("tag = 'w'"))
+    seq = w.groupBy("doc_id", F.col("anc_eid").alias("eid")).agg(F.array_sort(F.collect_list(F.struct(F.col("eid").alias("k"), F.col("content").alias("word")))).alias("tokens"))
+    for pattern in ('"," []? "en"', '[word!="de|en"]+ "."', '"no such word"'):
+        assert rows(cql.find_in_text(docs, pattern)) == rows(cql.find(seq, pattern, ["doc_id", "eid"])), pattern
+    with pytest.raises(cql.PatternError):
+        cql.find_in_text(docs, '[pos="n"]')
