@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1}
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,17 @@ def test_token_pattern(docs, e):
         assert rows(cql.find_in_text(docs, pattern)) == rows(cql.find(seq, pattern, ["doc_id", "eid"])), pattern
     with pytest.raises(cql.PatternError):
         cql.find_in_text(docs, '[pos="n"]')
+
+
+def same(docs, e, *queries):
+    assert treequery._Local([treequery.parse(q) for q in queries]).fits, queries
+    for q in queries:
+        e = treequery.run(e, q)
+    columns = ("doc_id", "eid", "parent_eid", "last", "tag", "content")
+    assert rows(treequery.run_on_text(docs, *queries, columns=columns)) == rows(e.select(*columns)), queries
+
+
+def test_tree_select_has(docs, e):
+    same(docs, e, 'SELECT w FOR s WHERE ( w HAS text = "de" )')
+    same(docs, e, 'SELECT s WHERE w HAS text = "de" FOR p WHERE NOT w HAS text = "!" RETURN target')
+    same(docs, e, 'SELECT w IN s FOR p WHERE w HAS text = "en" , p WHERE w HAS text = "!"')
