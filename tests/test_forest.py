@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1}
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,10 @@ def test_tree_select_has(docs, e):
     same(docs, e, 'SELECT w FOR s WHERE ( w HAS text = "de" )')
     same(docs, e, 'SELECT s WHERE w HAS text = "de" FOR p WHERE NOT w HAS text = "!" RETURN target')
     same(docs, e, 'SELECT w IN s FOR p WHERE w HAS text = "en" , p WHERE w HAS text = "!"')
+
+
+def test_tree_select_where(docs, e):
+    same(docs, e, 'SELECT w WHERE text MATCHES "^.{12,}$"')
+    same(docs, e, 'SELECT w WHERE ( text < "b" OR text CONTAINS "-" ) AND text NOTMATCHES "^[,.]$"')
+    same(docs, e, 'SELECT ALL WHERE class != "x" AND NOT text = "de"')
+    same(docs, e, 'SELECT ALL WHERE text NOTCONTAINS "e" AND class NOTMATCHES "x"')
