@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1}
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,8 @@ def test_tree_select_where(docs, e):
     same(docs, e, 'SELECT w WHERE ( text < "b" OR text CONTAINS "-" ) AND text NOTMATCHES "^[,.]$"')
     same(docs, e, 'SELECT ALL WHERE class != "x" AND NOT text = "de"')
     same(docs, e, 'SELECT ALL WHERE text NOTCONTAINS "e" AND class NOTMATCHES "x"')
+
+
+def test_word_neighbours(docs, e):
+    for size in (1, 3):
+        assert rows(forest.neighbours(docs, size, 14)) == rows(tree.neighbours(e, size=size).where("length(content) >= 14").select("doc_id", "content", "left", "right"))
