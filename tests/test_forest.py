@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1, "tree_edit_delete": 1}
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,11 @@ def test_tree_select_where(docs, e):
 def test_word_neighbours(docs, e):
     for size in (1, 3):
         assert rows(forest.neighbours(docs, size, 14)) == rows(tree.neighbours(e, size=size).where("length(content) >= 14").select("doc_id", "content", "left", "right"))
+
+
+def test_tree_edit_delete(docs, e):
+    edits = 'EDIT w WHERE text = "de" WITH text "DE"', 'DELETE w WHERE text = ","'
+    same(docs, e, *edits, 'SELECT w WHERE text = "DE" OR text = "de" OR text = "."')
+    same(docs, e, 'DELETE s WHERE w HAS text = "de"', "SELECT ALL")
+    assert not treequery._Local([treequery.parse(q) for q in (*edits, 'SELECT w WHERE text MATCHES "^D"')]).fits
+    assert rows(treequery.run_on_text(docs, edits[0], 'SELECT w WHERE text MATCHES "^D"', columns=("content",))) == rows(treequery.run_on_text(docs, edits[0], 'SELECT w WHERE text = "DE"', columns=("content",)))
