@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1, "tree_edit_delete": 1}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1, "tree_edit_delete": 1, "tree_select_previous": 1}
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +106,8 @@ def test_tree_edit_delete(docs, e):
     same(docs, e, 'DELETE s WHERE w HAS text = "de"', "SELECT ALL")
     assert not treequery._Local([treequery.parse(q) for q in (*edits, 'SELECT w WHERE text MATCHES "^D"')]).fits
     assert rows(treequery.run_on_text(docs, edits[0], 'SELECT w WHERE text MATCHES "^D"', columns=("content",))) == rows(treequery.run_on_text(docs, edits[0], 'SELECT w WHERE text = "DE"', columns=("content",)))
+
+
+def test_tree_select_previous(docs, e):
+    same(docs, e, 'SELECT w WHERE PREVIOUS w WHERE ( text = "," ) AND text MATCHES "^.{4,}$"')
+    same(docs, e, 'SELECT w WHERE NEXT w WHERE ( text = "," ) AND PARENT s WHERE ( w HAS text = "de" )')
