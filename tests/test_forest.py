@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1, "tree_edit_delete": 1, "tree_select_previous": 1}
+SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1, "tree_edit_delete": 1, "tree_select_previous": 1, "element_counts": 1}
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +111,7 @@ def test_tree_edit_delete(docs, e):
 def test_tree_select_previous(docs, e):
     same(docs, e, 'SELECT w WHERE PREVIOUS w WHERE ( text = "," ) AND text MATCHES "^.{4,}$"')
     same(docs, e, 'SELECT w WHERE NEXT w WHERE ( text = "," ) AND PARENT s WHERE ( w HAS text = "de" )')
+
+
+def test_element_counts(docs, e):
+    assert rows(forest.counts(docs)) == rows(e.groupBy("doc_id", "tag").agg(F.count("*").alias("n")))
