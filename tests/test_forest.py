@@ -12,7 +12,7 @@ from weftline.plans import cql, treequery
 from weftline.sources.annotated import elements_of_text
 
 #: Queries, and how many shuffles they may take: none stores or shuffles elements.
-SHUFFLES = {"paragraph_text": 0, "token_pattern": 1, "tree_select_has": 1, "tree_select_where": 1, "word_neighbours": 1, "tree_edit_delete": 1, "tree_select_previous": 1, "element_counts": 1}
+SHUFFLES = {n: 1 for n in ('token_pattern','tree_select_has','tree_select_where','word_neighbours','tree_edit_delete','tree_select_previous','element_counts')} | {'paragraph_text': 0, 'word_by_index': 0}
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,8 @@ def test_tree_select_previous(docs, e):
 
 def test_element_counts(docs, e):
     assert rows(forest.counts(docs)) == rows(e.groupBy("doc_id", "tag").agg(F.count("*").alias("n")))
+
+
+def test_word_by_index(docs, e):
+    for tag, k in (("w", -1), ("w", 0), ("w", 7), ("s", -2)):
+        assert rows(forest.nth(docs, tag, k)) == rows(tree.nth(e, tag, k).select("doc_id", "eid", "content")), (tag, k)
