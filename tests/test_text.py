@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from weftline.functions import math as M
@@ -79,3 +81,22 @@ def test_math(spark):
     df = spark.createDataFrame([([2.0, 3.0], [4.0, 5.0], [1, 3, 7])], "a array<double>, b array<double>, s array<int>")
     r = df.select(M.array_product("a").alias("p"), M.dot_product("a", "b").alias("d"), M.vector_add("a", "b").alias("v"), M.normalize("a").alias("n"), M.binary_search("s", F.lit(7)).alias("i"), M.binary_search("s", F.lit(2)).alias("j"), M.byte_size(F.lit(256)).alias("z")).first()
     assert (r.p, r.d, r.v, r.n, r.i, r.j, r.z) == (6.0, 23.0, [6.0, 8.0], [0.4, 0.6], 2, -1, 2)
+
+
+def test_sentence_ends(spark):
+    toks = [[], ["a"], [".", ".", "a"], ["a", ".", "?", "b", "...", "c"], ["…", "x", "。"], [".a", "b", ".", None, "c"]]
+    d = spark.createDataFrame(list(enumerate(toks)), "id int, t array<string>")
+    got = {r.id: (r.s, r.n) for r in d.select("id", T.split_sentences("t").alias("s"), T.count_sentences("t").alias("n")).collect()}
+    assert got[3][0] == [["a", ".", "?"], ["b", "..."], ["c"]] and got[2][0] == [[".", "."], ["a"]] and got[4][0] == [["…"], ["x", "。"]]
+    assert all(len(s) == n and sum(s, []) == toks[k] for k, (s, n) in got.items())
+
+
+def test_classes_name_single_characters():
+    # a range, a negated range or \w in a class costs Java a chain of tests for each character
+    for pattern in (T.TOKEN, T.WORD, T.MAIL, T.URL):
+        for inside in re.findall(r"(?<!\\)\[((?:\\.|[^\]\\])+)\]", pattern):
+            assert not re.search(r"(?<!\\)-|\\[a-zA-Z]", inside), inside
+    ref = re.compile(r"[\w:#@%/;$()~_?\+-=\\.&]", re.A)
+    assert all(bool(re.match(T._U, chr(c))) == bool(ref.match(chr(c))) for c in range(0x3000))
+    ref = re.compile(r"[^\t\n\x0b\f\r !-/:-@\[-`{-~]")
+    assert all(bool(re.match(T._C, chr(c))) == bool(ref.match(chr(c))) for c in range(0x3000))
