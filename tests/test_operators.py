@@ -131,3 +131,16 @@ def test_queries_and_sql_have_the_same_names():
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and "bigram_freq_markers" in q
+
+
+def test_ordered_pairs(spark, monkeypatch):
+    d = spark.range(40).select("id", F.concat(F.lit("né#"), (F.col("id") % 7).cast("string")).alias("name")).coalesce(1)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    for limit in (1000, 10):
+        monkeypatch.setattr(selection, "PAIRS_BROADCAST", limit)
+        monkeypatch.setattr(selection, "PAIRS_IN_TASK", 100)
+        p = selection.ordered_pairs(d, "id")
+        assert {tuple(r) for r in p.select("a.id", "b.id").collect()} == want
+        assert p.rdd.getNumPartitions() >= 16  # however few files there are
+    assert [r.name for r in T.without_common_prefix(d, "name").orderBy("id").limit(3).collect()] == ["0", "1", "2"]
+    assert [r.name for r in T.without_common_prefix(d.limit(1), "name").collect()] == [""]
