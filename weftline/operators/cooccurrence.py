@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import let
+from weftline.operators import pairs
 
 
 def pair_counts(lines: DataFrame, tokens: Column) -> DataFrame:
-    """Rows (a, b, joint, adjacent): how often a stands before b in a line, every pair of places, and next to it.
-
-    A line's pairs are made in its own row; they are counted on the map side,
-    so the shuffle has the distinct pairs of each task.
-    """
-
-    def of(t: Column) -> Column:
-        n = F.size(t)
-        at = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(at, lambda i: F.transform(F.slice(t, i + 1, n), lambda y, k: F.struct(F.get(t, i - 1).alias("a"), y.alias("b"), (k == 0).cast("int").alias("next")))))
-
-    pairs = lines.select(F.explode(let(tokens, of)).alias("x"))
-    return pairs.groupBy("x.a", "x.b").agg(F.count("*").alias("joint"), F.sum("x.next").cast("long").alias("adjacent"))
+    """Rows (a, b, joint, adjacent): how often a stands before b in a line, every pair of places, and next to it."""
+    return pairs.counts(lines, tokens).select("a", "b", "joint", "adjacent")
 
 
 def association(lines: DataFrame, tokens: Column, least: int = 0, discount_adjacent: bool = False) -> DataFrame:
@@ -32,11 +21,8 @@ def association(lines: DataFrame, tokens: Column, least: int = 0, discount_adjac
     jaccard = x / (n_a + n_b - x), dice = 2j / (1 + j), adjacency = adjacent /
     joint.  A score whose x is 0 is null.
     """
-    uni = lines.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = uni.agg(F.sum("n").cast("double").alias("_t"))
-    pairs = pair_counts(lines, tokens).where(F.col("joint") > least)
-    one, two = (uni.select(F.col("w").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    out = pairs.join(one, "a").join(two, "b").crossJoin(F.broadcast(total))
+    total = lines.agg(F.sum(F.greatest(F.size(tokens), F.lit(0))).cast("double").alias("_t"))
+    out = pairs.counts(lines, tokens, least=least).crossJoin(F.broadcast(total))
     x = (F.col("joint") - F.col("adjacent") if discount_adjacent else F.col("joint")).cast("double")
     x, t = F.when(x > 0, x), F.col("_t")
     pmi = F.ln(x * t / (F.col("n_a") * F.col("n_b")))
