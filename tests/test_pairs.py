@@ -61,7 +61,7 @@ def test_no_words(spark):
     assert pairs.counts(spark.createDataFrame([([],), (None,)], "s array<string>"), F.col("s")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["cooccurrence_scores"])
+@pytest.mark.parametrize("name", ["cooccurrence_scores", "word_alignment"])
 def test_no_pair_shuffled(spark, name):
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 0 and plan.count("SortMergeJoin") == 0

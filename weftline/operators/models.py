@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import BEGIN, END, joined_ngrams, let, padded
+from weftline.operators.pairs import counts
 
 
 def train_ngrams(sentences: DataFrame, tokens: Column, n: int) -> DataFrame:
@@ -153,11 +154,8 @@ def viterbi(sequences: DataFrame, start: dict[str, float], trans: dict[tuple[str
 
 def cooccurring_words(pairs: DataFrame, source: Column, target: Column) -> DataFrame:
     """Rows (source, target, n, p_target, p_source): distinct words of two aligned lines that meet, and the shares of their source and target."""
-    both = pairs.select(F.explode(F.array_distinct(source)).alias("source"), F.array_distinct(target).alias("_t")).select("source", F.explode("_t").alias("target"))
-    n = both.groupBy("source", "target").agg(F.count("*").alias("n"))
-    s = pairs.select(F.explode(F.array_distinct(source)).alias("source")).groupBy("source").agg(F.count("*").alias("_ns"))
-    t = pairs.select(F.explode(F.array_distinct(target)).alias("target")).groupBy("target").agg(F.count("*").alias("_nt"))
-    return n.join(s, "source").join(t, "target").select("source", "target", "n", (F.col("n") / F.col("_ns")).alias("p_target"), (F.col("n") / F.col("_nt")).alias("p_source"))
+    n = counts(pairs, F.array_distinct(source), F.array_distinct(target))
+    return n.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("joint").alias("n"), (F.col("joint") / F.col("n_a")).alias("p_target"), (F.col("joint") / F.col("n_b")).alias("p_source"))
 
 
 def best_targets(table: DataFrame) -> DataFrame:
