@@ -100,3 +100,18 @@ def test_classes_name_single_characters():
     assert all(bool(re.match(T._U, chr(c))) == bool(ref.match(chr(c))) for c in range(0x3000))
     ref = re.compile(r"[^\t\n\x0b\f\r !-/:-@\[-`{-~]")
     assert all(bool(re.match(T._C, chr(c))) == bool(ref.match(chr(c))) for c in range(0x3000))
+
+
+def test_strip_accents_by_pieces():
+    """A worker never holds a batch as Python strings, only pieces of it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["Éa ﬁ ½ ß 漢" * 400, None, ""] * 3000)
+    tracemalloc.start()
+    got = T.strip_accents.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == ["Ea fi 12  " * 400, None, ""] * 3000 and got.type == pa.string()
+    assert peak < 16 * T.PIECE  # of 20 MB of text
