@@ -144,3 +144,19 @@ def test_ordered_pairs(spark, monkeypatch):
         assert p.rdd.getNumPartitions() >= 16  # however few files there are
     assert [r.name for r in T.without_common_prefix(d, "name").orderBy("id").limit(3).collect()] == ["0", "1", "2"]
     assert [r.name for r in T.without_common_prefix(d.limit(1), "name").collect()] == [""]
+
+
+def test_count_ngrams(spark):
+    d = spark.createDataFrame([([],), (["a"],), (None,), ("a b a b é".split(),), ("a b".split(),), (["b"] * 40,)], "t array<string>").coalesce(1)
+    for low, high in ((1, 3), (2, 2), (1, 1), (3, 5)):
+        want = freq.count_items(d, T.multi_ngrams("t", low, high))
+        got = freq.count_ngrams(d, F.col("t"), low, high)
+        assert got.count() == want.count() and freq.same(got, want), (low, high)
+    assert freq.count_ngrams(d.where("t IS NULL"), F.col("t"), 1, 2).count() == 0
+
+
+def test_multi_ngram_windows_makes_whole_arrays(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["multi_ngram_windows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "MapInArrow" in plan

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import BEGIN, END
+
 
 def count_types(df: DataFrame, item: Column, by: list[str] | None = None, case_sensitive: bool = True) -> DataFrame:
     """Rows (by..., type, n); counted on the map side before the one shuffle."""
@@ -19,6 +25,47 @@ def count_items(df: DataFrame, items: Column, by: list[str] | None = None, case_
     return count_types(df.select(*(by or []), F.explode(items).alias("_item")), F.col("_item"), by, case_sensitive)
 
 
+#: Tokens whose n-grams a worker makes and counts at once.
+PIECE = 200_000
+
+
+def count_ngrams(df: DataFrame, tokens: Column, low: int, high: int, begin: str = BEGIN, end: str = END) -> DataFrame:
+    """Like :func:`count_items` of :func:`weftline.functions.text.multi_ngrams`, made and first counted by whole arrays of some lines."""
+
+    def grams(lists: pa.ListArray) -> pa.RecordBatch:
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        pad = high - 1
+        words = pa.concat_arrays([lists.flatten(), pa.array([begin, end])])
+        # places in the words of every line with all its markers, and where lines begin
+        first = np.concatenate([[0], np.cumsum(n + 2 * pad)])
+        row = np.repeat(np.arange(len(n)), n + 2 * pad)
+        k = np.arange(first[-1]) - first[:-1][row] - pad
+        place = np.where(k < 0, len(words) - 2, np.where(k >= n[row], len(words) - 1, k + (np.cumsum(n) - n)[row]))
+        made = []
+        for size in range(low, high + 1):
+            at = np.flatnonzero((k >= 1 - size) & (k < n[row]))
+            parts = [words.take(pa.array(place[at + i])) for i in range(size)]
+            made.append(pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0])
+        got = pa.table({"type": pa.chunked_array(made, pa.string())}).group_by("type").aggregate([([], "count_all")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([got.column("type").chunk(0), got.column("count_all").chunk(0)], ["type", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            a = 0
+            while a < len(lists):
+                b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")), a + 1)
+                part = grams(lists.slice(a, b - a))
+                for i in range(0, part.num_rows, PIECE):
+                    yield part.slice(i, PIECE)
+                a = b
+            pa.default_memory_pool().release_unused()
+
+    lines = df.select(tokens.alias("_t")).where("_t IS NOT NULL")
+    return lines.mapInArrow(run, "type string, n long").groupBy("type").agg(F.sum("n").alias("n"))
+
+
 def totals(freq: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows (by..., tokens, types, ttr): tokens, distinct types, types per token."""
     t, n = F.sum("n").cast("long"), F.count("*")
